@@ -33,7 +33,7 @@ SWITCH_COST, BACK_COST, HINT_COST = 1.0, 0.6, 2.0
 
 _MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 #: Offsets in hours that zone abbreviations stand for; several where the abbreviation is shared.
-_ABBR = {"UTC": [0], "GMT": [0], "Z": [0], "WET": [0], "WEST": [1], "CET": [1], "CEST": [2], "EET": [2], "EEST": [3], "MSK": [3], "BST": [1, 6], "IST": [5.5, 2, 1], "CST": [8, -6], "CDT": [-5], "EST": [-5], "EDT": [-4], "MST": [-7], "MDT": [-6], "PST": [-8], "PDT": [-7], "JST": [9], "KST": [9], "HKT": [8], "SGT": [8], "AEST": [10], "AEDT": [11], "ACST": [9.5], "AWST": [8], "NZST": [12], "NZDT": [13]}
+_ABBR = {"UTC": [0], "GMT": [0], "Z": [0], "WET": [0], "WEST": [1], "CET": [1], "CEST": [2], "EET": [2], "EEST": [3], "MSK": [3], "BST": [1], "IST": [5.5, 2, 1], "CST": [8, -6], "CDT": [-5], "EST": [-5], "EDT": [-4], "MST": [-7], "MDT": [-6], "PST": [-8], "PDT": [-7], "JST": [9], "KST": [9], "HKT": [8], "SGT": [8], "AEST": [10], "AEDT": [11], "ACST": [9.5], "AWST": [8], "NZST": [12], "NZDT": [13]}
 _ZH_DIGIT = {c: str(i) for i, c in enumerate("〇一二三四五六七八九")} | {"零": "0", "○": "0"}
 _LABEL = re.compile(r"^(?:[一-鿿]{2,8}\s*[:：]\s*|(?:published|updated|posted|accessed|retrieved|date|on)\b\s*(?:on|at)?\s*[:：]?\s*)", re.I)
 _BEIJING = re.compile(r"^(?:北京时间|中国标准时间)\s*[:：]?\s*")

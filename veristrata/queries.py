@@ -36,7 +36,7 @@ def p4_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return timestamps.normalise(p4_values(spark, folder)).where("n_readings = 1").select("tab", "row_id", "field", "normal")
+    return timestamps.normalise(p4_values(spark, folder)).where("n_readings = 1 or not notation rlike '^(label )?(dmy|mdy)'").select("tab", "row_id", "field", "normal")
 
 
 def p4_chosen(spark: SparkSession, folder: str) -> DataFrame:
