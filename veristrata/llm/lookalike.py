@@ -146,6 +146,7 @@ class Rewriter:
             self.automaton.add_word(x, (len(x), y))
         self.automaton.make_automaton()
         self.ascii_several = [x for x in several if x.isascii()]
+        self.plain = not self.ascii_several and all(i >= 0x80 or not chr(i).isprintable() or i == 0x20 for i in self.single)
         return self
 
     def _greedy(self, s: str) -> str:
@@ -157,7 +158,7 @@ class Rewriter:
         return "".join((*out, s[at:])) if at else s
 
     def __call__(self, s: str) -> str:
-        if not (s.isascii() and s.isprintable() and not self.ascii_several):
+        if not (self.plain and s.isascii() and s.isprintable()):
             s = s.translate(self.single)
             for _ in range(4):
                 before = s
