@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import leaks, lookalike, packing
+from veristrata.llm import leaks, lookalike, packing, stuffing
 from veristrata.tables import table
 
 
@@ -47,6 +47,14 @@ def p9_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.proximity(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.found(table(spark, folder, "documents"))
+
+
+def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.measures(table(spark, folder, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
 ORACLE: dict[str, str] = {}
