@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import leaks, lookalike, packing, stuffing
+from veristrata.llm import boilerplate, leaks, lookalike, packing, residue, stuffing
 from veristrata.tables import table
 
 
@@ -34,6 +34,24 @@ def p2_form(spark: SparkSession, folder: str) -> DataFrame:
     return formed.where("form is not null").groupBy("tab", "row_id").agg(F.max("form").alias("form"))
 
 
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(tab, row_id, host, title, text) of search_hits."""
+    return table(spark, folder, "search_hits").select(F.lit("search_hits").alias("tab"), F.col("hit_id").alias("row_id"), F.col("site").alias("host"), "title", F.col("content").alias("text"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    ev = table(spark, folder, "evidence").select(F.lit("evidence").alias("tab"), F.col("evidence_id").alias("row_id"), F.col("site").alias("host"), F.lit(None).cast("string").alias("title"), F.col("snippet").alias("text"))
+    return residue.exclude(_contents(spark, folder).unionByName(ev))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    hits = _contents(spark, folder)
+    gone = residue.exclude(hits)
+    pages = hits.where("text is not null").select("tab", "row_id", "host", "title", F.split("text", "\n").alias("lines"))
+    snaps = table(spark, folder, "homepage_snapshots").select(F.lit("homepage_snapshots").alias("tab"), F.col("snapshot_id").alias("row_id"), F.lower(F.regexp_extract(F.coalesce("final_url", "url"), "^[a-z]+://([^/:?#]+)", 1)).alias("host"), "title", F.col("blocks.text").alias("lines"))
+    return boilerplate.remove(pages.unionByName(snaps)).join(gone, ["tab", "row_id"], "left_anti")
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.count_tokens(table(spark, folder, "documents")))
 
@@ -55,6 +73,6 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measures(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
+QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
 ORACLE: dict[str, str] = {}
