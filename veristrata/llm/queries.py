@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import boilerplate, leaks, lookalike, packing, residue, stuffing
+from veristrata.llm import boilerplate, leaks, lookalike, packing, personal, residue, stuffing
 from veristrata.tables import table
 
 
@@ -44,6 +44,25 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.exclude(_contents(spark, folder).unionByName(ev))
 
 
+def _personal_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _texts(spark, folder, claims=("claim_key", "raw_text"), evidence=("evidence_id", "snippet"), input_risks=("risk_id", "excerpt"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.items(_personal_texts(spark, folder))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that had items, with placeholders."""
+    done = personal.redacted(_personal_texts(spark, folder))
+    return done.where("redacted rlike '\\\\[(EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)\\\\]'").groupBy("tab", "row_id").agg(F.max("redacted").alias("redacted"))
+
+
+def p5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """The keyed replacement of each distinct item; a deployment passes its own key."""
+    return personal.surrogates(personal.items(_personal_texts(spark, folder)), b"veristrata")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     hits = _contents(spark, folder)
     gone = residue.exclude(hits)
@@ -73,6 +92,6 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measures(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
+QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
 ORACLE: dict[str, str] = {}
