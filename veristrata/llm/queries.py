@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import boilerplate, leaks, lookalike, packing, personal, residue, stuffing
+from veristrata.llm import boilerplate, leaks, lookalike, names, packing, personal, residue, stuffing
 from veristrata.tables import table
 
 
@@ -71,6 +71,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.remove(pages.unionByName(snaps)).join(gone, ["tab", "row_id"], "left_anti")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    cell = lambda field, kind, value: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), value.alias("value"))
+    c = table(spark, folder, "claims").select(F.lit("claims").alias("tab"), F.col("claim_key").alias("row_id"), F.explode(F.array(cell("org", "org", F.col("entities")["org"]), cell("advisor", "person", F.col("entities")["advisor"]))).alias("x"))
+    e = table(spark, folder, "evidence").select(F.lit("evidence").alias("tab"), F.col("evidence_id").alias("row_id"), cell("publisher", "org", F.col("publisher")).alias("x"))
+    r = table(spark, folder, "contact_routes").select(F.lit("contact_routes").alias("tab"), F.col("route_id").alias("row_id"), F.explode("institution_names").alias("name")).select("tab", "row_id", cell("institution_names", "org", F.col("name")).alias("x"))
+    return names.link(c.unionByName(e).unionByName(r).select("tab", "row_id", "x.field", "x.kind", "x.value"), table(spark, folder, "known_names"))
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.count_tokens(table(spark, folder, "documents")))
 
@@ -92,6 +100,6 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measures(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
+QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
 ORACLE: dict[str, str] = {}
