@@ -274,7 +274,69 @@ def snapshot_blocks(s, d):
     return b.withColumn("again", F.coalesce(again, F.lit(False))).where("not again").groupBy("snapshot_id", "t").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_score, evidence_best_copy, claim_verdict, status_counts, coverage, element_pairs, supports_verbatim, url_keys, hit_identity, host_counts, domain_join, source_exclusion, unique_domain_vote, hits_top3, read_allocation, report_retention, reports_newest, education_overlap, admission_hint, institution_named, registry_merge, contacts_flat, publisher_keys, claim_years, search_plan, risk_lines, risk_scrubbed, usage_daily, usage_by_user, usage_by_kind, access_summary, user_sessions, quota_admission, rate_limited, last_setting, first_decision, report_markdown, report_json, snapshot_blocks)}
+def research_ids(s, d):
+    """Identifiers of works in statements and documents: DOI and arXiv."""
+    texts = _claims(s, d).select(F.lit("claims").alias("tab"), F.col("claim_key").alias("row_id"), F.col("raw_text").alias("t")).unionByName(table(s, d, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("row_id"), F.col("text").alias("t")))
+    found = F.concat(F.regexp_extract_all("t", F.lit(r"\b(10\.[0-9]{4,9}/[A-Za-z0-9._()/-]*[A-Za-z0-9])"), 1), F.regexp_extract_all("t", F.lit(r"\barXiv:([0-9]{4}\.[0-9]{4,5})"), 1))
+    return texts.where("t is not null").select("tab", "row_id", F.explode(F.array_distinct(found)).alias("work_id"))
+
+
+def labelled_fields(s, d):
+    """``label: value`` lines of the excerpts of contact routes."""
+    lines = table(s, d, "contact_routes").select("route_id", F.posexplode(F.split("excerpt", "\n")).alias("i", "line"))
+    pattern = r"^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$"
+    return lines.where(F.col("line").rlike(pattern)).select("route_id", (F.col("i") + 1).alias("line_no"), F.trim(F.regexp_extract("line", pattern, 1)).alias("label"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value"))
+
+
+def event_ledger(s, d):
+    """The first eighty events of a user in order, and whether there were more; longer lists never leave the tasks."""
+    first = R.top(_log(s, d), ["user_id"], ["at", "event_id"], 81, "seq")
+    g = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id"))).alias("l"))
+    return g.select("user_id", (F.size("l") > 80).alias("truncated"), F.array_join(F.transform(F.slice("l", 1, 80), lambda x: x["event_id"].cast("string")), ",").alias("events"))
+
+
+def search_budget(s, d):
+    """Searches of a site in order of arrival against a budget of a dozen: how many ran, and whether it was used up."""
+    h = table(s, d, "search_hits").where("hit_id is not null").groupBy("hit_id", "site").agg(F.min("fetched_at").alias("first"))
+    n = h.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("first", "hit_id")))
+    return n.groupBy("site").agg(F.count_if(F.col("n") <= 12).alias("ran"), (F.count("*") > 12).alias("exhausted"))
+
+
+def repost_groups(s, d):
+    """Pages that repeat one origin: how many rows, claims and sites."""
+    e = _evidence(s, d).where("origin_url is not null").select(E.origin_key(F.col("origin_url"), F.col("url")).alias("origin"), "claim_key", "site").where("origin is not null")
+    return e.groupBy("origin").agg(F.count("*").alias("n"), F.count_distinct("claim_key").alias("claims"), F.count_distinct("site").alias("sites"))
+
+
+def time_fit(s, d):
+    """Evidence whose year of publication lies within a year of its claim's span."""
+    e = _evidence(s, d).select("evidence_id", "claim_key", T.first_year(F.col("published_at")).alias("y"))
+    c = _claims(s, d).select("claim_key", T.first_year(F.col("date_start")).alias("a"), T.first_year(F.col("date_end")).alias("b"))
+    return e.join(c, "claim_key").where("y between a - 1 and coalesce(b, a) + 1").select("evidence_id", F.col("y").cast("bigint").alias("year"))
+
+
+def publisher_is_party(s, d):
+    """Evidence published by the institution its claim names, by the compact form of both."""
+    e = _evidence(s, d).where("trim(publisher) <> ''").select("evidence_id", "claim_key", T.compact_letters(F.col("publisher")).alias("k"))
+    c = _claims(s, d).select("claim_key", T.compact_letters(F.col("entities")["org"]).alias("k")).where("k <> ''")
+    return e.join(c, ["claim_key", "k"]).select("evidence_id", "claim_key")
+
+
+def element_gaps(s, d):
+    """By category and field: elements stated, and those no valid evidence proves."""
+    v = _verdicts(s, d).select("claim_key", F.split("unproved", "；").alias("open"))
+    c = _claims(s, d).select("claim_key", "category", "elements").join(v, "claim_key").select("category", "open", F.explode("elements").alias("e"))
+    return c.groupBy("category", T.element_field(F.col("e")).alias("field")).agg(F.count("*").alias("stated"), F.count_if(F.array_contains("open", F.col("e"))).alias("open"))
+
+
+def report_context(s, d):
+    """What all claims of a report may be read with: its institutions and the years of its education."""
+    c = _claims(s, d).where("report_id is not null")
+    g = c.groupBy("report_id").agg(F.array_sort(F.collect_set(F.when(F.trim(F.col("entities")["org"]) != "", F.col("entities")["org"]))).alias("o"), F.array_sort(F.collect_set(F.when(F.col("category") == "学历", T.first_year(F.col("date_start")).cast("string")))).alias("y"))
+    return g.select("report_id", F.array_join("o", "；").alias("institutions"), F.array_join("y", ",").alias("education_years"))
+
+
+QUERIES = {f.__name__: f for f in (evidence_score, evidence_best_copy, claim_verdict, status_counts, coverage, element_pairs, supports_verbatim, url_keys, hit_identity, host_counts, domain_join, source_exclusion, unique_domain_vote, hits_top3, read_allocation, report_retention, reports_newest, education_overlap, admission_hint, institution_named, registry_merge, contacts_flat, publisher_keys, claim_years, search_plan, risk_lines, risk_scrubbed, usage_daily, usage_by_user, usage_by_kind, access_summary, user_sessions, quota_admission, rate_limited, last_setting, first_decision, report_markdown, report_json, snapshot_blocks, research_ids, labelled_fields, event_ledger, search_budget, repost_groups, time_fit, publisher_is_party, element_gaps, report_context)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -317,6 +379,9 @@ _DAY = r"CASE WHEN regexp_full_match(trim({0}), '[0-9]{{4}}(-[0-9]{{2}}){{0,2}}'
 _END = r"CASE WHEN regexp_full_match(trim({0}), '[0-9]{{4}}') THEN TRY_CAST(trim({0}) || '-12-31' AS DATE) WHEN regexp_full_match(trim({0}), '[0-9]{{4}}-[0-9]{{2}}') THEN last_day(TRY_CAST(trim({0}) || '-01' AS DATE)) WHEN regexp_full_match(trim({0}), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(trim({0}) AS DATE) END"
 
 
+_YEAR = "CAST(nullif(regexp_extract({0}, '((?:19|20)[0-9]{{2}})', 1), '') AS INTEGER)"
+
+
 def _elem(entity: str, field: str) -> str:
     return f"coalesce(nullif(trim(entities['{entity}']), ''), nullif(trim(substr(list_filter(elements, lambda e: string_split(e, '=')[1] = '{field}')[1], {len(field) + 2})), ''))"
 
@@ -376,4 +441,13 @@ ORACLE = {
     "first_decision": f"WITH {_LOG} SELECT user_id, arg_min(kind, {{'a': moment, 'b': event_id}}) AS decision, count(*) AS attempts FROM lg WHERE kind IN ('purchase', 'error') GROUP BY 1",
     "report_markdown": _WV + ", l AS (SELECT c1.report_id, string_agg('- ' || coalesce(claim_no, '') || ' [' || status || '] ' || coalesce(raw_text, ''), chr(10) ORDER BY c1.claim_key) AS body FROM c1 JOIN vv USING (claim_key) GROUP BY 1) SELECT r1.report_id, '# ' || report_no || chr(10) || body AS markdown FROM r1 JOIN l USING (report_id)",
     "snapshot_blocks": "WITH s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY fetched_at) AS rn FROM homepage_snapshots WHERE snapshot_id IS NOT NULL) WHERE rn = 1), b AS (SELECT snapshot_id, generate_subscripts(blocks, 1) AS i, unnest(blocks) AS b FROM s), x AS (SELECT snapshot_id, b.t AS t, b.text AS text, coalesce(lag(b.text) OVER (PARTITION BY snapshot_id ORDER BY i) = b.text, false) AS again FROM b) SELECT snapshot_id, t, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM x WHERE NOT again GROUP BY 1, 2",
+    "research_ids": _W + r", t AS (SELECT 'claims' AS tab, claim_key AS row_id, raw_text AS t FROM c1 UNION ALL SELECT 'documents', doc_id, text FROM documents) SELECT DISTINCT tab, row_id, unnest(list_concat(regexp_extract_all(t, '\b(10\.[0-9]{4,9}/[A-Za-z0-9._()/-]*[A-Za-z0-9])', 1), regexp_extract_all(t, '\barXiv:([0-9]{4}\.[0-9]{4,5})', 1))) AS work_id FROM t WHERE t IS NOT NULL",
+    "labelled_fields": r"WITH l AS (SELECT route_id, unnest(string_split(excerpt, chr(10))) AS line, generate_subscripts(string_split(excerpt, chr(10)), 1) AS line_no FROM contact_routes) SELECT route_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_extract(line, '^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$', 1)) AS label, trim(regexp_extract(line, '^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$', 2)) AS value FROM l WHERE regexp_matches(line, '^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$')",
+    "event_ledger": f"WITH {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, event_id) AS seq FROM lg) SELECT user_id, count(*) > 80 AS truncated, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY seq) FILTER (seq <= 80) AS events FROM n GROUP BY 1",
+    "search_budget": "WITH h AS (SELECT hit_id, site, min(fetched_at) AS first FROM search_hits WHERE hit_id IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first, hit_id) AS n FROM h) SELECT site, count(*) FILTER (n <= 12) AS ran, count(*) > 12 AS exhausted FROM n GROUP BY 1",
+    "repost_groups": _W + ", o AS (SELECT nullif(trim(CASE WHEN origin_url = '' THEN url ELSE origin_url END), '') AS origin, claim_key, site FROM e1 WHERE origin_url IS NOT NULL) SELECT origin, count(*) AS n, count(DISTINCT claim_key) AS claims, count(DISTINCT site) AS sites FROM o WHERE origin IS NOT NULL GROUP BY 1",
+    "time_fit": _W + f", e AS (SELECT evidence_id, claim_key, {_YEAR.format('published_at')} AS y FROM e1), c AS (SELECT claim_key, {_YEAR.format('date_start')} AS a, {_YEAR.format('date_end')} AS b FROM c1) SELECT evidence_id, CAST(y AS BIGINT) AS year FROM e JOIN c USING (claim_key) WHERE y BETWEEN a - 1 AND coalesce(b, a) + 1",
+    "publisher_is_party": _W + f"SELECT evidence_id, e1.claim_key FROM e1 JOIN c1 ON e1.claim_key = c1.claim_key AND {_COMPACT.format('e1.publisher')} = {_COMPACT.format("entities['org']")} WHERE trim(publisher) <> '' AND {_COMPACT.format('e1.publisher')} <> ''",
+    "element_gaps": _WV + ", x AS (SELECT category, vv.unproved, unnest(c1.elements) AS e FROM c1 JOIN vv USING (claim_key)) SELECT category, string_split(e, '=')[1] AS field, count(*) AS stated, count(*) FILTER (list_contains(string_split(unproved, '；'), e)) AS open FROM x GROUP BY 1, 2",
+    "report_context": _W + f"SELECT report_id, array_to_string(list_sort(coalesce(list(DISTINCT entities['org']) FILTER (trim(entities['org']) <> ''), [])), '；') AS institutions, array_to_string(list_sort(coalesce(list(DISTINCT CAST({_YEAR.format('date_start')} AS VARCHAR)) FILTER (category = '学历' AND {_YEAR.format('date_start')} IS NOT NULL), [])), ',') AS education_years FROM c1 WHERE report_id IS NOT NULL GROUP BY 1",
 }
