@@ -116,6 +116,7 @@ def found(text):
         ("材料寄至岚桥市青溪区白鹭北街54号；松影路校区", {("address", "岚桥市青溪区白鹭北街54号")}),
         ("家住汐湾市北渚区松影路395号槐荫小区11-3-677", {("address", "汐湾市北渚区松影路395号槐荫小区11-3-677")}),
         ("lives at 9 Kestrel Row, Unit 9, Port Ansley; room 404, Foxglove Avenue campus", {("address", "9 Kestrel Row, Unit 9, Port Ansley")}),
+        ("post to 121 Alder Wharf Lane, Apt 29, Grenmoor. Visitors", {("address", "121 Alder Wharf Lane, Apt 29, Grenmoor")}),
         ("申请人卓霆笙 请；申请人应在6月29日前提交。指导教师：骆芷樾（证书）", {("name", "卓霆笙"), ("name", "骆芷樾")}),
         ("Best Poster prize: Noël Fenwicke, A. Okonjwa and Béla H. Brandtmoor (Dept. of Statistics).", {("name", "Noël Fenwicke"), ("name", "A. Okonjwa"), ("name", "Béla H. Brandtmoor")}),
         ("By Nathaniel L. Rathmullen, co-editor. Visitors from Port Ansley joined.", {("name", "Nathaniel L. Rathmullen")}),

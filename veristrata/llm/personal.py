@@ -118,7 +118,7 @@ _ADDRESS_ZH = re.compile(
 )
 _CUT_LEADIN = re.compile(rf"^.*(?:{_LEADIN})")
 _STREET = "Road|Street|Lane|Avenue|Row|Close|Court|Drive|Causeway|Wharf|Way|Place|Square|Terrace|Hill|Mews|Crescent|Boulevard|Gardens|Walk|Parade|Quay|Rd|St|Ave|Blvd|Ln|Dr"
-_ADDRESS_EN = re.compile(rf"(?<![A-Za-z0-9.,/-])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’-]* ){{1,4}}?(?:{_STREET})\b\.?(?:,? (?:Unit|Flat|Apt|Apartment|Suite|Floor|Room)\.? ?\w+)?(?:, (?:[A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?)(?![\w'’]))?")
+_ADDRESS_EN = re.compile(rf"(?<![A-Za-z0-9.,/-])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’-]* ){{1,4}}(?:{_STREET})\b\.?(?:,? (?:Unit|Flat|Apt|Apartment|Suite|Floor|Room)\.? ?\w+)?(?:, (?:[A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?)(?![\w'’]))?")
 _STREET_HINT = re.compile(rf"\d [A-Z][\w'’ -]{{2,40}}\b(?:{_STREET})\b")
 _Z_NAME = rf"(?:(?:{'|'.join(COMPOUND)})[{_H}]{{1,2}}|[{''.join(sorted(SURNAMES))}][{_H}]{{1,2}})"
 _ZH_LABEL = r"(?:联系人|申请人|候选人|当事人|负责人|证明人|推荐人|指导教师|指导老师|导师|教师|作者|队友|学生|选手|记者|主讲人|姓名|发件人|收件人)[:：]?\s?"
