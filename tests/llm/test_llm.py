@@ -233,12 +233,14 @@ def test_pack(spark):
     out = packing.pack(rows(spark, data, "doc_id bigint, n_tokens bigint")).collect()
     room, places = Counter(), Counter()
     for r in out:
-        if r["container"] is not None:
-            room[r["container"]] += r["n_tokens"]
-            places[r["container"], r["position"]] += 1
+        room[r["container"]] += r["n_tokens"]
+        places[r["container"], r["position"]] += 1
     assert max(room.values()) <= 2048 and set(places.values()) == {1} and sum(room.values()) == 2048 + 5000 + 1000 + 1048 + 20 + 2047
-    assert sorted(r["n_tokens"] for r in out if r["doc_id"] == 2) == [904, 2048, 2048] and sorted(r["doc_id"] for r in out if r["container"] is None) == [3, 4]
+    assert all(p == 0 or (c, p - 1) in places for c, p in places)
+    assert sorted(r["n_tokens"] for r in out if r["doc_id"] == 2) == [904, 2048, 2048] and sorted(r["doc_id"] for r in out if r["n_tokens"] == 0) == [3, 4]
     assert packing.pack(rows(spark, [], "doc_id bigint, n_tokens bigint")).collect() == []
+    only = packing.pack(rows(spark, [(1, 0), (2, None)], "doc_id bigint, n_tokens bigint")).collect()
+    assert sorted((r["container"], r["position"]) for r in only) == [(0, 0), (0, 1)]
 
 
 def test_tokens(spark):

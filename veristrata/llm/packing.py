@@ -12,7 +12,7 @@ made in two levels, inside (length, bucket) and by the counts of the buckets bef
 a length with a third of all texts is no single group.
 
 Defined results: a text longer than a container is cut into full containers and a rest;
-null or empty texts have no tokens and get a null container; equal texts under several ids
+null or empty texts have no tokens and go in turns behind the last text of each container; equal texts under several ids
 are several items; rows that repeat an id are one item each; an empty table gives none.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from veristrata.tables import cut
 
 CAPACITY = 2048
-BUCKETS = 64
+BUCKETS = 1024
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _encoders: dict[str, object] = {}
@@ -113,28 +113,35 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 def pack(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(container, position, doc_id, piece, token_start, n_tokens) for counted(doc_id, n_tokens)."""
     counted = cut(counted.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).alias("n_tokens")))
-    number = F.ceil(F.col("n_tokens") / capacity).cast("int")
-    pieces = counted.where("n_tokens > 0").select(
+    number = F.greatest(F.ceil(F.col("n_tokens") / capacity).cast("int"), F.lit(1))
+    pieces = counted.select(
         "doc_id", F.explode(F.sequence(F.lit(0), number - 1)).alias("piece"), F.col("n_tokens").alias("_all")
     ).select("doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("token_start"), F.least(F.lit(capacity), F.col("_all") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
     pieces = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
     sizes = pieces.groupBy("n_tokens", "_b").count()
     before = sizes.select("n_tokens", "_b", (F.sum("count").over(W.partitionBy("n_tokens").orderBy("_b")) - F.col("count")).alias("_before"))
     histogram = {r[0]: r[1] for r in sizes.groupBy("n_tokens").agg(F.sum("count")).collect()}  # at most ``capacity`` rows
-    rows, _ = plan(histogram, capacity)
+    histogram.pop(0, None)
+    rows, containers = plan(histogram, capacity)
     ranked = pieces.withColumn("_rank", F.row_number().over(W.partitionBy("n_tokens", "_b").orderBy("doc_id", "piece")) - 1).join(before, ["n_tokens", "_b"])
     ranked = ranked.select("doc_id", "piece", "token_start", "n_tokens", (F.col("_rank") + F.col("_before")).alias("rank"))
     table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    filled: dict[int, int] = {0: 0}  # first container of each filling, and its texts
+    for _, _, _, per, first, position in rows:
+        filled[first] = max(filled.get(first, 0), position + per)
+    starts, texts = (np.array(x, np.int64) for x in zip(*sorted(filled.items())))
     out = pa.schema([("container", pa.int64()), ("position", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int32())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = table[:, 0] << 44 | table[:, 1]
         for b in batches:
             length, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
-            r = table[np.searchsorted(key, length << 44 | rank, side="right") - 1]
-            inside, per = rank - r[:, 1], r[:, 3]
-            yield pa.RecordBatch.from_arrays([pa.array(r[:, 4] + inside // per), pa.array((r[:, 5] + inside % per).astype(np.int32)), *(b.column(i).cast(f.type) for i, f in zip(range(4), list(out)[2:]))], schema=out)
-
-    placed = ranked.mapInArrow(place, "container bigint, position int, doc_id bigint, piece int, token_start bigint, n_tokens int")
-    none = counted.where("n_tokens = 0").select(F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("position"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).alias("n_tokens"))
-    return placed.unionByName(none)
+            turn, c = np.divmod(rank, max(containers, 1))
+            position = texts[np.searchsorted(starts, c, side="right") - 1] + turn
+            some = np.flatnonzero(length > 0)
+            r = table[np.searchsorted(key, length[some] << 44 | rank[some], side="right") - 1]
+            inside, per = rank[some] - r[:, 1], r[:, 3]
+            c[some], position[some] = r[:, 4] + inside // per, r[:, 5] + inside % per
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(position.astype(np.int32)), *(b.column(i).cast(f.type) for i, f in zip(range(4), list(out)[2:]))], schema=out)
+
+    return ranked.mapInArrow(place, "container bigint, position int, doc_id bigint, piece int, token_start bigint, n_tokens int")
