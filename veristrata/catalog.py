@@ -142,13 +142,13 @@ def reports_newest(s, d):
 
 
 def education_overlap(s, d):
-    """Claims of a report whose span meets a span of education with one institution alone."""
+    """Claims of a report that share a month with education at one institution alone."""
     from veristrata.operators.intervals import first_day, last_day
 
     c = _claims(s, d).select("claim_key", "report_id", "category", F.col("entities")["org"].alias("org"), first_day(F.col("date_start")).alias("a"), last_day(F.col("date_end")).alias("b"))
     left = c.where("category <> '学历' and a is not null").select("claim_key", "report_id", "a", "b")
     right = c.where("category = '学历' and a is not null and trim(org) <> ''").select("report_id", F.col("a").alias("c"), F.col("b").alias("d"), "org")
-    return J.only_one(J.overlapping(left, right, "report_id"), ["claim_key"], "org")
+    return J.only_value_meeting(left, right, "report_id", "claim_key", "org")
 
 
 def admission_hint(s, d):
@@ -156,9 +156,9 @@ def admission_hint(s, d):
     y = lambda c: F.substring(F.trim(c), 1, 4)
     ok = lambda c: F.trim(c).rlike("^[0-9]{4}")
     e = _claims(s, d).where("category = '学历' and trim(entities['org']) <> ''").select("claim_key", "report_id", F.col("entities")["org"].alias("org"), F.when(ok("date_start"), y("date_start")).alias("start_year"), F.when(ok("date_end"), y("date_end")).alias("end_year"))
-    o = e.select("report_id", F.col("end_year").alias("start_year"), F.col("start_year").alias("before"), F.col("org").alias("hint"))
-    j = e.join(o, ["report_id", "start_year"]).where("before < start_year and hint <> org")
-    return J.only_one(j, ["claim_key"], "hint")
+    o = e.where("start_year < end_year").groupBy("report_id", F.col("end_year").alias("start_year")).agg(F.min("org").alias("lo"), F.max("org").alias("hi"), F.count_distinct("org").alias("n"))
+    other = F.when((F.col("n") == 1) & (F.col("lo") != F.col("org")), F.col("lo")).when((F.col("n") == 2) & (F.col("lo") == F.col("org")), F.col("hi")).when((F.col("n") == 2) & (F.col("hi") == F.col("org")), F.col("lo"))
+    return e.join(o, ["report_id", "start_year"]).withColumn("hint", other).where("hint is not null").select("claim_key", "hint")
 
 
 def institution_named(s, d):
@@ -422,7 +422,7 @@ ORACLE = {
     "read_allocation": _W + f"SELECT site, CAST(read_no AS INTEGER) AS read_no, hit_id FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY turn, relevance DESC, hit_id) AS read_no FROM (SELECT *, row_number() OVER (PARTITION BY site, query_text ORDER BY relevance DESC, hit_id) AS turn FROM (SELECT *, {_REL} AS relevance FROM h1))) WHERE read_no <= 8",
     "report_retention": _W + "SELECT target_position, CAST(rank AS INTEGER) AS rank, report_id FROM (SELECT *, row_number() OVER (PARTITION BY target_position ORDER BY report_id DESC) AS rank FROM r1) WHERE rank <= 10",
     "reports_newest": _W + "SELECT report_id, report_no FROM r1 ORDER BY report_id DESC LIMIT 10",
-    "education_overlap": _W + f", p AS (SELECT claim_key, report_id, category, entities['org'] AS org, {_DAY.format('date_start')} AS a, {_END.format('date_end')} AS b FROM c1) SELECT l.claim_key, min(r.org) AS org FROM p l JOIN p r USING (report_id) WHERE l.category <> '学历' AND r.category = '学历' AND l.a IS NOT NULL AND r.a IS NOT NULL AND trim(r.org) <> '' AND r.a <= coalesce(l.b, r.a) AND coalesce(r.b, l.a) >= l.a GROUP BY 1 HAVING count(DISTINCT r.org) = 1",
+    "education_overlap": _W + f", p AS (SELECT claim_key, report_id, category, entities['org'] AS org, {_DAY.format('date_start')} AS a0, {_END.format('date_end')} AS b0 FROM c1), q AS (SELECT *, greatest(year(a0) * 12 + month(a0), 22801) AS a, least(coalesce(year(b0) * 12 + month(b0), 25212), 25212) AS b FROM p WHERE a0 IS NOT NULL) SELECT l.claim_key, min(r.org) AS org FROM q l JOIN q r USING (report_id) WHERE l.category <> '学历' AND r.category = '学历' AND trim(r.org) <> '' AND greatest(l.a, r.a) <= least(l.b, r.b) GROUP BY 1 HAVING count(DISTINCT r.org) = 1",
     "admission_hint": _W + ", e AS (SELECT claim_key, report_id, entities['org'] AS org, CASE WHEN regexp_matches(trim(date_start), '^[0-9]{4}') THEN substr(trim(date_start), 1, 4) END AS sy, CASE WHEN regexp_matches(trim(date_end), '^[0-9]{4}') THEN substr(trim(date_end), 1, 4) END AS ey FROM c1 WHERE category = '学历' AND trim(entities['org']) <> '') SELECT e.claim_key, min(o.org) AS hint FROM e JOIN e o ON e.report_id = o.report_id AND o.ey = e.sy AND o.sy < e.sy AND o.org <> e.org GROUP BY 1 HAVING count(DISTINCT o.org) = 1",
     "institution_named": _W + ", m AS (SELECT hit_id, name_id, full_name, rank() OVER (PARTITION BY hit_id ORDER BY length(full_name) DESC) AS r FROM h1 JOIN known_names n ON n.kind = 'org' AND length(n.full_name) >= 2 AND contains(h1.content, n.full_name)) SELECT hit_id, min(name_id) AS name_id, min(full_name) AS full_name FROM m WHERE r = 1 GROUP BY 1 HAVING count(DISTINCT name_id) = 1",
     "registry_merge": _W + ", x AS (SELECT official_url AS work, authors, pub_year, unnest(registry_sources) AS registry FROM h1 WHERE trim(official_url) <> ''), g AS (SELECT work, registry, max(pub_year) AS y, list_distinct(flatten(list(authors))) AS au FROM x WHERE registry IN ('registry-a', 'registry-b') GROUP BY 1, 2), a AS (SELECT * FROM g WHERE registry = 'registry-a'), b AS (SELECT * FROM g WHERE registry = 'registry-b'), j AS (SELECT coalesce(a.work, b.work) AS work, coalesce(a.y, b.y) AS pub_year, (a.y IS NOT NULL AND b.y IS NOT NULL) AS in_both, list_sort(list_distinct(list_concat(coalesce(a.au, []), coalesce(b.au, [])))) AS au FROM a FULL JOIN b ON a.work = b.work) SELECT work, pub_year, in_both, len(au) AS n_authors, array_to_string(au, '、') AS authors FROM j",

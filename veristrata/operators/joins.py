@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.functions import urls
@@ -28,9 +28,30 @@ def outside_domains(pages: DataFrame, url: str, domains: DataFrame, domain: str,
     return pages.join(hit, key, "left_anti")
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Pairs of one group whose spans [a, b] meet; an open end (null) never ends. Columns a, b on the left, c, d on the right."""
-    return left.join(right, on).where("c <= coalesce(b, c) and coalesce(d, a) >= a")
+FIRST_MONTH, LAST_MONTH = 1900 * 12 + 1, 2100 * 12 + 12
+
+
+def month(c: Column) -> Column:
+    """Months since year 0."""
+    return F.year(c) * 12 + F.month(c)
+
+
+def months(start: Column, end: Column) -> Column:
+    """The months of a span, as numbers; an open end (null) lasts to the last month there is."""
+    a, b = F.greatest(month(start), F.lit(FIRST_MONTH)), F.least(F.coalesce(month(end), F.lit(LAST_MONTH)), F.lit(LAST_MONTH))
+    return F.when(a <= b, F.sequence(a, b))
+
+
+def only_value_meeting(left: DataFrame, right: DataFrame, on: str, key: str, value: str) -> DataFrame:
+    """(key, value): for left spans [a, b] the value of the right spans [c, d] they share a month with, if it is one alone.
+
+    The right side is first brought to a row a month with the least and the greatest value, so no
+    pairs of spans are made, however many a group holds.
+    """
+    r = right.select(on, value, F.explode(months(F.col("c"), F.col("d"))).alias("_m")).groupBy(on, "_m").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    l = left.select(on, key, F.explode(months(F.col("a"), F.col("b"))).alias("_m"))  # noqa: E741
+    g = l.join(r, [on, "_m"]).groupBy(key).agg(F.min("_lo").alias(value), F.max("_hi").alias("_hi"))
+    return g.where(F.col(value) == F.col("_hi")).drop("_hi")
 
 
 def only_one(df: DataFrame, keys: list[str], value: str) -> DataFrame:
