@@ -106,7 +106,7 @@ _ID_LABEL = re.compile(r"(?:身份证|证件|护照|passport|identity|\bID\b|soc
 _OTHER_LABEL = re.compile(r"(?:学号|编号|证书|备案|合同|订单|准考证|档案|工号|流水|金额|ISBN|ISSN|doi|student|certificate|grant|contract|file|order|ref\.?|invoice|No\.|书号|账号|卡号|字〔\d+〕第)[^0-9A-Za-z]{0,8}(?:no\.?|number|号码?)?[^0-9A-Za-z]{0,4}$", re.I)
 _PHONE = re.compile(
     rf"(?<![A-Za-z0-9*.@/_+-])(?:\(\+?86\)|（\+?86）|\+86|0086)?[ -]?(?<!\d)1[3-9]\d([ -]?)\d{{4}}\1\d{{4}}{_E}"
-    rf"|(?<![A-Za-z0-9*.@/_+-])(?:\(\+?\d{{1,3}}\)|\+\d{{1,3}})[ -]?(?:\(\d{{2,4}}\)[ -]?)?\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,4}}{_E}"
+    rf"|(?<![A-Za-z0-9*.@/_+-])(?:\(\+\d{{1,3}}\)|\+\d{{1,3}})[ -]?(?:\(\d{{2,4}}\)[ -]?)?\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,4}}{_E}"
     rf"|(?<![A-Za-z0-9*.@/_+-])(?:\(0\d{{2,3}}\)|（0\d{{2,3}}）)[ -]?\d{{3,4}}[ -]?\d{{4}}{_E}|{_N}0\d{{2,3}}[ -]\d{{3,4}}[ -]?\d{{4}}{_E}"
     rf"|{_N}(?:\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}} \d{{3}} \d{{4}}){_E}"
 )
