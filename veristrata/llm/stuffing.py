@@ -39,7 +39,7 @@ LAG = 48
 LEAST = 12
 UNIT_TERMS = 40
 #: Least share of regular places, and most of new pairs, for a unit without and with function words.
-LOOSE, STRICT, NEW, PROSE = 0.45, 0.75, 0.2, 0.16
+LOOSE, STRICT, NEW, PROSE, PROSE_ZH = 0.45, 0.75, 0.2, 0.16, 0.05
 #: Least share of recurring items in a short and in a long list, or of recurring single terms, in a list of nouns; of regular places in a priced offer.
 ITEMS, SOME, SINGLE, OFFER = 0.65, 0.35, 0.75, 0.3
 LINK_CHARS = 24
@@ -220,7 +220,8 @@ def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     unit_doc = td[np.flatnonzero(fresh)]
     price = np.r_[False, number[:-1]] & mark | np.r_[number[1:], [False]] & mark
     prices = by_unit((price & np.r_[False, ~fresh[1:]]).astype(float))
-    no_prose = fshare < PROSE
+    han = by_unit((rk == _HAN).astype(float)) > 0.5 * words  # Chinese prose has fewer function words
+    no_prose = fshare < np.where(han, PROSE_ZH, PROSE)
     link_only = (links > 0) & ((words <= 3) | ((words <= 6) & (share >= LOOSE) & (news <= NEW)))
     dense = (words > 0) & (share >= np.where(no_prose, LOOSE, STRICT)) & (news <= NEW) & (links == 0)
     offers = (prices > 0) & no_prose & (share >= OFFER) & (links == 0)
