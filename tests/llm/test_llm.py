@@ -77,6 +77,17 @@ def test_exclude(spark):
     assert got(residue.exclude(df.limit(0))) == []
 
 
+def test_exclude_keeps_recurring_text(spark):
+    rule = "The dean reads every report aloud in the hall before it is filed."
+    data = [("t", i, "h", None, f"{rule}\n1. dialect speech\nBy the lake\nReport {'abcdefghijklmnopqrst'[i]} has its own sentence in the hall.") for i in range(20)]
+    data += [("t", 100 + i, "h", None, f"Line {chr(97 + i % 26) * (1 + i // 26)} x\nAnother sentence of this page stands here, number {i}.") for i in range(300)]
+    data += [("t", 500, "h", None, f"Loading...\n{rule}"), ("t", 501, "h", None, "Loading...\n1. dialect speech"), ("t", 502, "h", None, "Loading...")]
+    # one text under many keys is one page
+    data += [("t", 600 + i, "g", None, "Loading...\nOlive stairs") for i in range(30)] + [("t", 700 + i, "g", None, f"A hall for all of us was opened today.\nRoom {'abcdefghij'[i]}") for i in range(10)]
+    df = rows(spark, data, "tab string, row_id bigint, host string, title string, text string")
+    assert got(residue.exclude(df)) == [("t", 502)]
+
+
 # ---------------------------------------------------------------- boilerplate
 
 

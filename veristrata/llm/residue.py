@@ -1,11 +1,11 @@
 """Template residue, filler, error pages and script notices in place of real content.
 
-Lines are normalised (digits apart) and counted by host: on how many records of the host a
-line stands. A line is evidence if error messages, unfilled placeholders, filler or notices
+Lines are normalised (digits apart) and counted by host: on what share of the host's distinct
+texts a line stands. A line is evidence if error messages, unfilled placeholders, filler or notices
 that scripts, a log-in or a check are required are all it says; a line that merely mentions
 such things says more. Of a record that has evidence, lines that recur on its host, or look
 like the furniture of a page, are subtracted as boilerplate; the record is excluded if
-nothing else is left.
+nothing else is left. Sentences, dated and numbered entries are text, however often they recur.
 
 Only lines that such records have left are counted, by a semi-join before the shuffle, and the
 counts combine on the map side, so a host with a third of all records is no single task.
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from veristrata.llm import lines as L
 from veristrata.tables import cut
 
-#: Records of the host a line must stand on to be boilerplate.
-RECURRENT = 4
-#: The same over all hosts, for hosts with few records.
-RECURRENT_ALL = 12
+#: Share of the other texts of the host a line must stand on to be boilerplate.
+RECURRENT = 0.2
+#: The same over the texts of all hosts, for lines of a template that few texts of each host show.
+RECURRENT_ALL = 0.005
+#: Distinct texts that a share can rest on: the text itself and two others.
+LEAST_TEXTS = 3
 #: Words outside placeholders, for each of them, that still count as their surrounding phrase.
 AROUND = 5
 
@@ -108,7 +110,7 @@ _IDS = re.compile(r"\W*(?=\w*\d)[0-9a-f-]{4,}\W*")
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records with evidence, each with the keys of its lines that are neither evidence nor furniture by their look.
 
-    The record's own title is no boilerplate, however often it recurs; its key is counted nowhere.
+    A record with a sentence or an entry among these has real text and is left out. The record's own title is no boilerplate, however often it recurs; its key is counted nowhere.
     """
     memo: dict[str, bool] = {}
     for b in batches:
@@ -130,7 +132,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     others.append(line)
             if seen:
                 own = (title or "").strip()
-                rest = [row_id ^ 0x5DEECE66D if x.strip() == own else L.key(x) for x in others if x.strip() == own or not L.look(x) & (L.FURN | L.NAV) and not _IDS.fullmatch(x)]
+                others = [x for x in others if x.strip() == own or not L.look(x) & (L.FURN | L.NAV) and not _IDS.fullmatch(x)]
+                if any(L.look(x) & (L.SENT | L.ENTRY | L.NUMBERED) for x in others):
+                    continue
+                rest = [row_id ^ 0x5DEECE66D if x.strip() == own else L.key(x) for x in others]
                 for col, x in zip(out, (tab, row_id, host, rest)):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _OUT)], schema=_OUT)
@@ -139,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         k = [sorted({L.key(x) for x in t.split("\n") if x and not x.isspace()}) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(k, pa.list_(pa.int64()))], names=["tab", "row_id", "host", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(k, pa.list_(pa.int64()))], names=["tab", "content", "host", "keys"])
 
 
 def exclude(rows: DataFrame) -> DataFrame:
@@ -148,12 +153,15 @@ def exclude(rows: DataFrame) -> DataFrame:
     seen = cut(rows.mapInArrow(_scan, "tab string, row_id bigint, host string, open array<bigint>"))
     sure = seen.where(F.size("open") == 0).select("tab", "row_id")
     asked = seen.where(F.size("open") > 0).select("tab", "row_id", "host", F.explode(F.array_distinct("open")).alias("key")).distinct()
-    lines = rows.where(F.instr("text", "\n") > 0).select("tab", "row_id", "host", "text").mapInArrow(_keys, "tab string, row_id bigint, host string, keys array<bigint>")
+    pages = rows.where(F.instr("text", "\n") > 0).select("tab", F.xxhash64("text").alias("content"), "host", "text")
+    lines = pages.mapInArrow(_keys, "tab string, content bigint, host string, keys array<bigint>")
     # lines that are asked about alone go on to the counts
-    lines = lines.select("tab", "host", "row_id", F.explode("keys").alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
+    lines = lines.select("tab", "host", "content", F.explode("keys").alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
     by_host = lines.distinct().groupBy("tab", "host", "key").agg(F.count("*").alias("n"))
-    everywhere = by_host.groupBy("tab", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= RECURRENT_ALL).select("tab", "key")
-    here = by_host.where(F.col("n") >= RECURRENT).select("tab", "host", "key")
+    sizes = pages.select("tab", "host", "content").distinct().groupBy("tab", "host").agg(F.count("*").alias("m"))
+    often = lambda share: F.col("n") >= F.greatest(1 + share * (F.col("m") - 1), F.lit(LEAST_TEXTS))
+    everywhere = by_host.groupBy("tab", "key").agg(F.sum("n").alias("n")).join(sizes.groupBy("tab").agg(F.sum("m").alias("m")), "tab").where(often(RECURRENT_ALL)).select("tab", "key")
+    here = by_host.join(sizes, ["tab", "host"]).where(often(RECURRENT)).select("tab", "host", "key")
     left = asked.join(here, ["tab", "host", "key"], "left_anti").join(everywhere, ["tab", "key"], "left_anti").select("tab", "row_id").distinct()
     cleared = asked.select("tab", "row_id").distinct().join(left, ["tab", "row_id"], "left_anti")
     return sure.unionByName(cleared).distinct()
