@@ -302,6 +302,40 @@ def test_proximity(spark):
     assert got(leaks.proximity(rows(spark, docs, "doc_id bigint, text string"), rows(spark, [(1, "en", item)], "item_id bigint, lang string, text string"))) == [(1, 1)]
 
 
+def near_by_definition(doc, item, slop=2, missing=2):
+    """Some window, at some place of the document, has all but ``missing`` words within ``slop`` of their place, one exactly there."""
+    v, w, n = doc.split(), item.split(), 12
+    for i in range(len(w) - n + 1):
+        for b in range(-n, len(v)):
+            near = [any(v[max(b + j + s, 0) : b + j + s + 1] == [w[i + j]] for s in range(-slop, slop + 1) if b + j + s >= 0) for j in range(n)]
+            if sum(near) >= n - missing and any(0 <= b + j < len(v) and v[b + j] == w[i + j] for j in range(n)):
+                return True
+    return False
+
+
+def test_proximity_of_changed_rare_words():
+    rnd = random.Random(6)
+    items = [" ".join(rnd.choice([f"c{rnd.randrange(6)}", f"r{i}x{j}"]) for j in range(14)) for i in range(6)]
+    block = leaks.Items([(i, "en", t) for i, t in enumerate(items)]).compile()
+    docs = []
+    for d in range(60):
+        w = rnd.choice(items).split()
+        for _ in range(d % 5):
+            at = rnd.randrange(len(w))
+            w[at : at + 1] = rnd.choice([["unknown"], ["c1"], [], [w[at], "added"], [f"r{rnd.randrange(6)}x{rnd.randrange(14)}"]])
+        docs.append("before it " + " ".join(w) + " behind it")
+    want = {(d, i) for d, x in enumerate(docs) for i, y in enumerate(items) if near_by_definition(x, y)}
+    assert len(want) > 30 and leaks.near(leaks.Segment(list(range(60)), docs, block), block, 2, 2) == want
+    # whatever shares the segment
+    assert set().union(*(leaks.near(leaks.Segment([d], [x], block), block, 2, 2) for d, x in enumerate(docs))) == want
+    # the rarest word of every window is another one
+    item = "the old of the an in rarest to of the in an old the"
+    block = leaks.Items([(1, "en", item)]).compile()
+    for word in ("other", "old"):
+        assert leaks.near(leaks.Segment([1, 2], [item.replace("rarest", word), "rarest old"], block), block, 2, 2) == {(1, 1)}
+        assert leaks.near(leaks.Segment([1], [item.replace("rarest", word)], block), block, 2, 2) == {(1, 1)}
+
+
 # ---------------------------------------------------------------- stuffing
 
 SPAM = [

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 SEGMENT_CHARS = 3_000_000
 ITEM_BLOCK = 5_000
+#: Pairs of a place in a segment and one in the items that are looked at together.
+PAIRS = 1_000_000
 #: Consecutive words that make a leak, by the item's language; others count as Latin.
 WINDOW = {"zh": 20, "en": 12}
 
@@ -161,32 +163,74 @@ def exact(segment: Segment, items: Items) -> set[tuple[int, int]]:
     return set(zip(segment.ids[segment.doc[p[hit]]].tolist(), items.ids[q[hit]].tolist()))
 
 
+def near_anchors(items: Items, df: np.ndarray, missing: int) -> np.ndarray:
+    """Places in the items so that each window with ``missing`` words changed still holds one: its ``missing`` + 1 rarest words, of those the ones that the segment holds."""
+    rare = np.where(items.terms >= 0, df[np.maximum(items.terms, 0)], 1 << 40)
+    chosen = []
+    for n in np.unique(items.need):
+        if len(rare) < n:
+            continue
+        at = np.arange(len(rare) - n + 1)
+        at = at[(items.need[at] == n) & (items.owner[at] == items.owner[at + n - 1]) & (items.terms[at] >= 0)]
+        view = np.lib.stride_tricks.sliding_window_view(rare, n)[at]
+        best = view.argsort(axis=1, kind="stable")[:, : missing + 1]
+        chosen.append((at[:, None] + best)[np.take_along_axis(view, best, axis=1) > 0])
+    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+
+
 def near(segment: Segment, items: Items, slop: int, missing: int) -> set[tuple[int, int]]:
-    """(document, item) where all but ``missing`` words of a window stand near their place, moved by up to ``slop`` words."""
-    places = anchors(items, segment.df)
+    """(document, item) where all but ``missing`` words of a window stand near their place, moved by up to ``slop`` words, one of them exactly there."""
+    places = near_anchors(items, segment.df, missing)
     if not len(places):
         return set()
-    lists = [segment.positions(items.terms[q]) for q in places]
-    p = np.concatenate(lists)
-    q = np.repeat(places, [len(x) for x in lists])
     end_p, end_q = len(segment.term_at), len(items.terms)
+
+    def stands(p: np.ndarray, q: np.ndarray, k: int, moves: range) -> np.ndarray:
+        """Where the item's word k places from q stands in q's document, k places from p or moved from there."""
+        b = q + k
+        ok = (b >= 0) & (b < end_q)
+        ok &= items.owner[np.where(ok, b, q)] == items.owner[q]
+        term = np.where(ok, items.terms[np.where(ok, b, q)], -3)
+        got = np.zeros(len(p), bool)
+        for s in moves:
+            a = p + k + s
+            inside = (a >= 0) & (a < end_p)
+            got |= inside & (segment.term_at[np.where(inside, a, 0)] == term)
+        return got
+
     out: set[tuple[int, int]] = set()
-    for n in np.unique(items.need):
-        mine = np.flatnonzero(items.need[q] == n)
-        got = np.zeros((len(mine), 2 * n - 1), bool)
-        for k in range(-n + 1, n):
-            b = q[mine] + k
-            ok = (b >= 0) & (b < end_q)
-            ok[ok] = items.owner[b[ok]] == items.owner[q[mine][ok]]
-            for s in range(-slop, slop + 1):
-                a = p[mine] + k + s
-                good = ok & (a >= 0) & (a < end_p)
-                good[good] = (segment.term_at[a[good]] == items.terms[b[good]]) & (segment.doc[a[good]] == segment.doc[p[mine][good]])
-                got[:, k + n - 1] |= good
-        sums = np.cumsum(np.c_[np.zeros(len(mine), int), got], axis=1)
-        best = (sums[:, n:] - sums[:, :-n]).max(axis=1) if len(mine) else np.zeros(0)
-        hit = mine[best >= n - missing]
-        out |= set(zip(segment.ids[segment.doc[p[hit]]].tolist(), items.ids[q[hit]].tolist()))
+    pairs = np.cumsum(segment.df[items.terms[places]]) // PAIRS
+    for some in np.split(places, np.flatnonzero(np.diff(pairs)) + 1):
+        lists = [segment.positions(items.terms[x]) for x in some]
+        all_p, all_q = np.concatenate(lists), np.repeat(some, [len(x) for x in lists])
+        for n in np.unique(items.need[some]):
+            live = items.need[all_q] == n
+            p, q = all_p[live], all_q[live]
+            # a window reaches half of its length from its anchor on one side at least
+            lost = np.zeros((2, len(p)), np.int32)
+            for k in range(1, n // 2 + 1):
+                for side, step in enumerate((k, -k)):
+                    lost[side] += ~stands(p, q, step, range(-2 * slop, 2 * slop + 1))
+                on = lost.min(axis=0) <= missing
+                p, q, lost = p[on], q[on], lost[:, on]
+            if not len(p):
+                continue
+            # the anchor itself may be moved: every place of the window that it allows is tried
+            doc = segment.doc[p]
+            for move in range(-slop, slop + 1):
+                got, there = np.zeros((len(p), 2 * n - 1), bool), np.zeros((len(p), 2 * n - 1), bool)
+                for k in range(-n + 1, n):
+                    for s in range(-slop, slop + 1):
+                        a = p + move + k + s
+                        own = (a >= 0) & (a < end_p)
+                        own &= segment.doc[np.where(own, a, 0)] == doc
+                        hit = own & stands(p + move, q, k, range(s, s + 1))
+                        got[:, k + n - 1] |= hit
+                        if s == 0:
+                            there[:, k + n - 1] = hit
+                near_by, exactly = (np.cumsum(np.c_[np.zeros(len(p), int), x], axis=1) for x in (got, there))
+                hit = ((near_by[:, n:] - near_by[:, :-n] >= n - missing) & (exactly[:, n:] > exactly[:, :-n])).any(axis=1)
+                out |= set(zip(segment.ids[doc[hit]].tolist(), items.ids[q[hit]].tolist()))
     return out
 
 
