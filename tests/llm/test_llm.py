@@ -356,6 +356,19 @@ def test_stuffing(spark):
     assert got(stuffing.found(df.limit(0))) == []
 
 
+HEADLINES = ["River quality alerts move to another building", "New museum catalogue opens for visiting scholars", "Sparse retrieval team wins seed money again", "Handwritten rosters recognised by students of law", "Harbour lights return after seven dark winters", "Library hours grow longer during exam weeks"]
+HEADLINES_ZH = ["低碳混凝土配比工作坊顺利举行", "古籍断句模型团队完成中期检查", "多光谱图像分割成果入选案例集", "微电网负荷预测队伍赴外地交流", "场地预约调度系统上线试运行", "方言语音标注课程开放报名通道"]
+
+
+def test_links_with_long_labels(spark):
+    far = "https://news.test/" + "a/b-c/" * 60
+    bad = ["\n".join(f"[{x}](http://n.test/{i})" for i, x in enumerate(HEADLINES)), "\n".join(f"{x} http://n.test/{chr(97 + i)}" for i, x in enumerate(HEADLINES)), "\n".join(f"{x}：https://n.test/{chr(97 + i)}" for i, x in enumerate(HEADLINES_ZH)), "cheap transcript " * 30 + "http://n.test/x", GOOD[3] + ("\n" + far) * 2]
+    good = [*GOOD[:3], "\n".join(f"The {x.lower()} and it was read in the hall, see http://n.test/{i}." for i, x in enumerate(HEADLINES)), (GOOD[3] + "\n") * 2 + far]
+    good += ["代表论文\n" + "\n".join(f"[{i}] {a}. {b}. {2010 + i}. https://doi.example/10.9999/{i * 991}" for i, (a, b) in enumerate(zip(["钟离皎", "祁沁葭", "辛珩弈", "商宥旻", "车琅蓁", "祁沁葭"], ["微电网负荷预测研究", "长文本稀疏检索方法探讨", "微电网负荷预测研究", "长文本稀疏检索方法探讨", "微电网负荷预测研究", "长文本稀疏检索方法探讨"])))]
+    df = rows(spark, [*enumerate(bad), *((100 + i, x) for i, x in enumerate(good))], "doc_id bigint, text string")
+    assert got(stuffing.found(df)) == [(i,) for i in range(len(bad))]
+
+
 def test_gaps_against_brute_force():
     import numpy as np
 

@@ -8,7 +8,7 @@ its pair recurs within ``LAG`` terms and stands in the page three times or more.
 
 Units of a page are its lines; long lines fall into sentences or stretches of ``UNIT_TERMS``.
 A unit is stuffed if it is
-  a link with no more than a short label;
+  a link with its label, in brackets or beside it, of any length, but without a sentence or the parts and numbers of an entry;
   regular in most of its places without anything new (pairs that stand only once in the page,
   as the names in a roster or an author list do), more strictly so where it has the function
   words of a sentence;
@@ -42,6 +42,7 @@ UNIT_TERMS = 40
 LOOSE, STRICT, NEW, PROSE, PROSE_ZH = 0.45, 0.75, 0.2, 0.16, 0.05
 #: Least share of recurring items in a short and in a long list, or of recurring single terms, in a list of nouns; of regular places in a priced offer.
 ITEMS, SOME, SINGLE, OFFER = 0.65, 0.35, 0.75, 0.3
+#: Most weight of a link where links are fewer than other units, as in an article.
 LINK_CHARS = 24
 BATCH_CHARS = 2_000_000
 #: Frequent words that prose cannot do without (fixed values).
@@ -50,11 +51,12 @@ FUNCTION = "the of and to in a an for on with that by is was are were be at as i
 PRICE = ["元", "块", "折", "¥", "￥", "$", "€", "£", "usd", "eur", "gbp", "rmb", "cny", "off"]
 FUNCTION_ZH = "的了在是与和为并由从到有将于其者所被及或把对就都也不未以等"
 
-_LINK = re.compile(r"\[([^\]\n]{0,60})\]\(\s*(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>()\[\]，。；、]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|cn|top|xyz|info|shop|site|invalid|test|example)\b(?:/\S*)?")
+_LINK = re.compile(r"\[([^\[\]\n]*)\]\(\s*(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>()\[\]，。；、]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|cn|top|xyz|info|shop|site|invalid|test|example)\b(?:/\S*)?")
 _LINKISH = re.compile(r"://|www\.|\.(?:com|net|org|cn|top|xyz|info|shop|site|invalid|test|example)\b")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FAR = np.int64(1 << 40)
+_MARKS = dict.fromkeys((1, 2, 3, 4), " ")
 # kinds of characters
 _WORD, _DIGIT, _HAN, _LINK_MARK, _LINE, _STOP, _PART, _DOC = 1, 2, 3, 4, 5, 6, 7, 8
 
@@ -92,13 +94,14 @@ def _hashes(chars: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _plain(text: str) -> tuple[str, list[int]]:
-    text = text.lower().replace("\x01", " ").replace("\x02", " ")
+    text = text.lower().translate(_MARKS)
     links: list[int] = []
     if _LINKISH.search(text):
 
         def one(m: re.Match) -> str:
-            links.append(min(len(m[0]), LINK_CHARS))
-            return f"{m[1] or ''} \x02 "
+            links.append(len(m[0]) - len(m[1] or ""))
+            # the label stands between marks; a point behind an address ends its sentence
+            return f" \x03{m[1]}\x04 \x02 " if m[1] else f" \x02 {'.' if m[0][-1] in '.!?' else ''}"
 
         text = _LINK.sub(one, text)
     return text, links
@@ -164,6 +167,7 @@ def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     h = _hashes(chars, at[real], last[real])
     h[rk == _DIGIT], h[rk == _LINK_MARK] = 5, 7
     word = (rk == _WORD) | (rk == _HAN)
+    label = (np.cumsum(chars == 3) > np.cumsum(chars == 4))[at[real]]
     fn = np.isin(h, _hash_words(FUNCTION + list(FUNCTION_ZH))) & word
     fn &= ~np.r_[(rk[1:] == _DIGIT) & (at[real][1:] == last[real][:-1] + 1), [False]]  # as in A4
     mark = np.isin(h, _hash_words(PRICE)) & word
@@ -222,13 +226,20 @@ def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     prices = by_unit((price & np.r_[False, ~fresh[1:]]).astype(float))
     han = by_unit((rk == _HAN).astype(float)) > 0.5 * words  # Chinese prose has fewer function words
     no_prose = fshare < np.where(han, PROSE_ZH, PROSE)
-    link_only = (links > 0) & ((words <= 3) | ((words <= 6) & (share >= LOOSE) & (news <= NEW)))
-    dense = (words > 0) & (share >= np.where(no_prose, LOOSE, STRICT)) & (news <= NEW) & (links == 0)
-    offers = (prices > 0) & no_prose & (share >= OFFER) & (links == 0)
-    nouns = (fshare < 0.04) & (words >= 6) & (digits <= 0.12 * total) & (links == 0)
+    beside = by_unit((word & ~label).astype(float))
+    stop_at = np.searchsorted(real, np.flatnonzero(k == _STOP)) - 1
+    stops = np.bincount(unit[stop_at[stop_at >= 0]], minlength=m)
+    bare = by_unit((number & ~label).astype(float)) == 0
+    link_only = (links > 0) & ((beside <= 3) | ((words <= 6) & (share >= LOOSE) & (news <= NEW)) | bare & (stops == 0) & (n_items <= 2 * links) & (no_prose | (by_unit(ts * (rk == _LINK_MARK)) >= 0.5 * sizes)))
+    dense = (words > 0) & (share >= np.where(no_prose, LOOSE, STRICT)) & (news <= NEW)
+    offers = (prices > 0) & no_prose & (share >= OFFER)
+    nouns = (fshare < 0.04) & (words >= 6) & (digits <= 0.12 * total) & (bare | (links == 0))  # an entry with its number or year and a link is no list of nouns
     item_list = nouns & (n_items >= 4) & ((item_share >= ITEMS) | (share >= 0.55) & (single >= 0.8) | (n_items >= 6) & (item_share >= SOME))
     term_list = nouns & (n_items <= 3) & (words >= 10) & ((single >= SINGLE) & (share >= 0.3) | (n_tokens >= 8) & (token_share >= 0.5))
     offers &= by_doc(offers.astype(float), unit_doc)[unit_doc] >= 3
+    # an article has no more links than sentences; elsewhere a link weighs its whole length
+    few = by_doc(link_only.astype(float), unit_doc) <= by_doc(((links == 0) & (words > 3)).astype(float), unit_doc)
+    sizes = by_unit(np.where((rk == _LINK_MARK) & few[td], np.minimum(ts, LINK_CHARS), ts))
     bad = link_only | dense | offers | item_list | term_list
     stuffed = by_doc(sizes * bad, unit_doc) / np.maximum(by_doc(sizes, unit_doc), 1)
     n = np.bincount(td, minlength=n_docs)
