@@ -56,3 +56,12 @@ def test_operator(spark):
 
 def test_empty(spark):
     assert T.normalise(frame(spark, [])).collect() == []
+
+
+def test_hours_of_several_zones_in_one_partition():
+    import pyarrow as pa
+
+    cols = [["e", "e", "e"], [1, 2, 3], ["f"] * 3, ["a", "b", "c"], [0] * 3, ["Asia/Shanghai", "UTC", "America/New_York"], ["2024年3月5日15时"] * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tab", "row_id", "field", "source", "block", "tz", "value"])
+    got = [x for b in T._decide(iter([batch])) for x in b.column(3).to_pylist()]
+    assert got == ["2024-03-05T07:00:00Z", "2024-03-05T15:00:00Z", "2024-03-05T20:00:00Z"]

@@ -265,7 +265,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last_key, chain_key = None, None
     prev: list[tuple] | None = None  # the decided record before the open run
     run: list[tuple] = []  # undecided records: (tab, row_id, field, readings)
-    memo: dict[str, list] = {}
+    memo: dict[tuple[str, str | None], list] = {}
     out: list[tuple] = []
 
     def close(after: list[tuple] | None) -> None:
@@ -289,13 +289,13 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key != chain_key:
                 close(None)
                 prev, chain_key = None, key
-            found = memo.get(value)
+            found = memo.get((value, tz))
             if found is None:
                 found = readings(value, tz)
-                if len(value) <= 12 and ":" not in value:  # dates do not depend on the source
+                if len(value) <= 12 and ":" not in value:  # short values repeat; an hour among them depends on the zone
                     if len(memo) > 50_000:
                         memo.clear()
-                    memo[value] = found
+                    memo[value, tz] = found
             if not found:
                 continue
             if len(found) == 1:
