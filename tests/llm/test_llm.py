@@ -150,14 +150,6 @@ def test_items_operator(spark):
     assert got(personal.items(df.limit(0))) == []
 
 
-def test_surrogates_stay_distinct(spark):
-    items = [("name", f"冀{a}{b}") for a in "珩旻朔笙彧宥棣霆沁恪" for b in "珩旻朔笙彧宥棣霆沁恪葭谙"] * 2 + [("phone", "138 0000 0001"), ("id_number", "E12345678")]
-    out = personal.surrogates(spark.createDataFrame(items, "kind string, found_text string"), b"key").collect()
-    assert len(out) == 122 and len({(r[0], r[2]) for r in out}) == 122
-    by = {r[1]: r[2] for r in out}
-    assert re.fullmatch(r"\d{3} \d{4} \d{4}", by["138 0000 0001"]) and re.fullmatch(r"[A-Z]\d{8}", by["E12345678"])
-
-
 # ---------------------------------------------------------------- names
 
 KNOWN = [(1, "org", "霁汀学术出版社", "Jiting Academic Press"), (2, "org", "霁汀大学", "Jiting University"), (3, "org", "砚渡医科大学", "Yandu Medical University"), (4, "org", "砚渡学术出版社", "Yandu Academic Press"), (5, "org", "珞桥大学", "Luoqiao University"), (6, "org", "珞桥学术出版社", "Luoqiao Academic Press"), (7, "org", "汐溪医科大学", "Xixi Medical University"), (8, "org", "鹭屿医科大学", "Luyu Medical University"), (9, "org", "荻桥大学", "Diqiao University"), (20, "person", "冀昀琅", "Yunlang Ji"), (21, "person", "Josephine Wickdale", "Josephine Wickdale")]

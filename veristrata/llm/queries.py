@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import boilerplate, leaks, lookalike, names, packing, personal, residue, stuffing
-from veristrata.tables import table
+from veristrata.llm import boilerplate, leaks, lookalike, names, packing, personal, residue, stuffing, surrogates
+from veristrata.tables import cut, table
 
 
 def _texts(spark: SparkSession, folder: str, **fields: tuple[str, str]) -> DataFrame:
@@ -48,8 +48,19 @@ def _personal_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(spark, folder, claims=("claim_key", "raw_text"), evidence=("evidence_id", "snippet"), input_risks=("risk_id", "excerpt"))
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the surrogates: ``spark.veristrata.surrogate.key`` of the session; the default is for trials alone."""
+    return spark.conf.get("spark.veristrata.surrogate.key", "no secret: trials alone").encode()
+
+
+def _replaced_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item of a row with the surrogate that replaces it."""
+    found = cut(personal.items(_personal_texts(spark, folder)))
+    return found.join(surrogates.surrogates(found, surrogate_key(spark)), ["kind", "found_text"])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.items(_personal_texts(spark, folder))
+    return _replaced_items(spark, folder).select("tab", "row_id", "kind", "found_text")
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,8 +70,19 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    """The keyed replacement of each distinct item; a deployment passes its own key."""
-    return personal.surrogates(personal.items(_personal_texts(spark, folder)), b"veristrata")
+    """The keyed replacement of each distinct spelling of an item, and the entity it spells."""
+    return surrogates.surrogates(personal.items(_personal_texts(spark, folder)), surrogate_key(spark))
+
+
+def p5_surrogate_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Surrogates that stand for several entities, entities with several, and surrogates that still tell their item: none of each."""
+    return surrogates.checks(cut(p5_surrogates(spark, folder)))
+
+
+def p5_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that had items, with surrogates in their places."""
+    texts = _personal_texts(spark, folder)
+    return personal.written(texts, p5_surrogates(spark, folder))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,6 +122,8 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measures(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
+QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p5_surrogate_checks": p5_surrogate_checks, "p5_replaced": p5_replaced, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p5_surrogate_checks": "SELECT CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS parted, CAST(0 AS BIGINT) AS kept",
+}
