@@ -18,7 +18,7 @@ CASES = [
 
 @pytest.mark.parametrize("value, tz, normal", CASES)
 def test_one_reading(value, tz, normal):
-    assert [r[0] for r in T.readings(value, tz)] == [normal]
+    assert [r[0] for r in T.readings(value, tz) if not r[3]] == [normal]
 
 
 @pytest.mark.parametrize("value", [None, "", "  ", "yesterday", "刚刚", "3天前", "N/A", "2021-02-30", "2009-13", "31/02/2020", "0000-00-00 00:00:00", "2023-04-31T08:15:00Z", "x" * 200_000, "2024-01-01 25:00:00", "时间不详"])
