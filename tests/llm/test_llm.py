@@ -371,3 +371,21 @@ def test_gaps_against_brute_force():
         same = [j for j in range(500) if key[j] == key[i]]
         after, before = [j - i for j in same if j > i], [i - j for j in same if j < i]
         assert count[i] == len(same) and (nxt[i] == min(after) if after else nxt[i] > 1 << 30) and (near[i] == min(after + before) if after + before else near[i] > 1 << 30)
+
+
+def test_stuffing_of_any_length_and_tags():
+    share = lambda t: stuffing._measure([1], [t]).column(1).to_pylist()[0]
+    assert share("buy shoes " * 4) > 0.5 and share("Tags: python, sql, pottery, swimming, jazz, violin, chess, cooking, rowing") > 0.5 and share("#python #sql #pottery #swimming #jazz #violin #chess") > 0.5
+    assert share("Skills: Python, SQL, pottery, swimming, jazz, violin, chess, cooking") == 0 and share("One word") == 0
+    assert share("The group published its records.\nKeywords: peer review; load forecasts; soil moisture; museum catalogue") < 0.5
+    assert stuffing._measure([1], [" \n"]).num_rows == 0
+
+
+def test_stuffing_by_autocorrelation(monkeypatch):
+    """Text in step with a period beyond the recurrence lag, without separators, is found by its autocorrelation alone."""
+    rnd = random.Random(4)
+    period = "".join(chr(0x4E00 + x) for x in rnd.sample(range(3000, 9000), 260))
+    share = lambda t: stuffing._measure([1], [t]).column(1).to_pylist()[0]
+    assert share(period * 6) > 0.5
+    monkeypatch.setattr(stuffing, "IN_STEP", 9)
+    assert share(period * 6) < 0.5

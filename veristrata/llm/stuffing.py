@@ -13,17 +13,19 @@ A unit is stuffed if it is
   as the names in a roster or an author list do), more strictly so where it has the function
   words of a sentence;
   a priced offer, one of several, with regular places;
-  a list of nouns without function words whose items recur.
+  a list of nouns without function words whose items recur, or that are marked as tags;
+  in step: the positional autocorrelation of the unit, the largest share of its places whose
+  next occurrence lies exactly one lag on, and the one after that as far again, is high within
+  ``BEATS`` terms, and it has no function words. Prose that recurs does so at many lags.
 A page is found where stuffed units make more than half of it.
 
-The positional autocorrelation of a page, the largest share of its places whose next
-occurrence lies exactly one lag on, and the spread of the gaps come out beside the verdict.
+The autocorrelation of the whole page and the spread of its gaps come out beside the verdict.
 
 All documents of a batch are treated at once as arrays; a document is one row and stays in
 its task, so nothing is shuffled and no group can grow hot. Only numbers leave the task.
 
-Defined results: null, empty and very short texts (below ``LEAST`` terms) are no cases; very
-long texts are read whole; repeated rows give one row; extra columns are ignored.
+Defined results: null and empty texts, and texts without terms, are no cases; texts of any
+other length are judged, and read whole; repeated rows give one row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LAG = 48
-LEAST = 12
+#: Lags that the autocorrelation looks at, and the share of a unit's places on one of them that makes it in step.
+BEATS, IN_STEP = 16 * LAG, 0.5
+#: Items of a list behind a word for tags; an abstract names fewer.
+TAGS = 9
 UNIT_TERMS = 40
 #: Least share of regular places, and most of new pairs, for a unit without and with function words.
 LOOSE, STRICT, NEW, PROSE, PROSE_ZH = 0.45, 0.75, 0.2, 0.16, 0.05
@@ -51,12 +56,14 @@ FUNCTION = "the of and to in a an for on with that by is was are were be at as i
 PRICE = ["元", "块", "折", "¥", "￥", "$", "€", "£", "usd", "eur", "gbp", "rmb", "cny", "off"]
 FUNCTION_ZH = "的了在是与和为并由从到有将于其者所被及或把对就都也不未以等"
 
+#: What a list of tags is announced by (fixed values).
+_TAGS = re.compile(r"^[ \t]*(?:标签|关键词|热搜|热词|tags?|keywords|labels)[ \t]*[:：]|#(?=[^\W\d])", re.I | re.M)
 _LINK = re.compile(r"\[([^\[\]\n]*)\]\(\s*(?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>()\[\]，。；、]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|cn|top|xyz|info|shop|site|invalid|test|example)\b(?:/\S*)?")
 _LINKISH = re.compile(r"://|www\.|\.(?:com|net|org|cn|top|xyz|info|shop|site|invalid|test|example)\b")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _FAR = np.int64(1 << 40)
-_MARKS = dict.fromkeys((1, 2, 3, 4), " ")
+_MARKS = dict.fromkeys((1, 2, 3, 4, 5), " ")
 # kinds of characters
 _WORD, _DIGIT, _HAN, _LINK_MARK, _LINE, _STOP, _PART, _DOC = 1, 2, 3, 4, 5, 6, 7, 8
 
@@ -95,6 +102,8 @@ def _hashes(chars: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _plain(text: str) -> tuple[str, list[int]]:
     text = text.lower().translate(_MARKS)
+    if "#" in text or ":" in text or "：" in text:
+        text = _TAGS.sub(lambda m: m[0] + "\x05", text)
     links: list[int] = []
     if _LINKISH.search(text):
 
@@ -134,6 +143,12 @@ def _recur(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nxt, near, count
 
 
+def by_unit_at(marks: np.ndarray, at: np.ndarray, unit: np.ndarray, m: int) -> np.ndarray:
+    """How many marks stand before the terms of each unit, behind the term before."""
+    upto = np.cumsum(marks)[at]
+    return np.bincount(unit, weights=np.diff(np.r_[0, upto]), minlength=m)
+
+
 def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     global _kind_of
     if _kind_of is None:
@@ -222,6 +237,14 @@ def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     share, fshare = cover / np.maximum(words, 1), fns / np.maximum(words, 1)
     sizes = by_unit(ts)
     unit_doc = td[np.flatnonzero(fresh)]
+    # places in step: the most of a unit's places whose next occurrence lies at one lag
+    near_by = np.flatnonzero((nxt <= BEATS) & word)
+    near_by = near_by[nxt[near_by + nxt[near_by]] == nxt[near_by]]  # and the one after that as far again
+    lags, times = np.unique(unit[near_by] * (BEATS + 1) + nxt[near_by], return_counts=True)
+    step = np.zeros(m)
+    np.maximum.at(step, lags // (BEATS + 1), times)
+    step /= np.maximum(total, 1)
+    tagged = by_unit_at(chars == 5, at[real], unit, m)
     price = np.r_[False, number[:-1]] & mark | np.r_[number[1:], [False]] & mark
     prices = by_unit((price & np.r_[False, ~fresh[1:]]).astype(float))
     han = by_unit((rk == _HAN).astype(float)) > 0.5 * words  # Chinese prose has fewer function words
@@ -240,10 +263,12 @@ def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     # an article has no more links than sentences; elsewhere a link weighs its whole length
     few = by_doc(link_only.astype(float), unit_doc) <= by_doc(((links == 0) & (words > 3)).astype(float), unit_doc)
     sizes = by_unit(np.where((rk == _LINK_MARK) & few[td], np.minimum(ts, LINK_CHARS), ts))
-    bad = link_only | dense | offers | item_list | term_list
+    in_step = no_prose & (step >= IN_STEP) & (words >= 4) & (news <= NEW)
+    tag_list = (fshare < 0.04) & (words >= 6) & ((tagged >= 3) | (tagged > 0) & (n_items >= TAGS))
+    bad = link_only | dense | offers | item_list | term_list | in_step | tag_list
     stuffed = by_doc(sizes * bad, unit_doc) / np.maximum(by_doc(sizes, unit_doc), 1)
     n = np.bincount(td, minlength=n_docs)
-    near_by = np.flatnonzero(nxt <= 16 * LAG)
+    near_by = np.flatnonzero(nxt <= BEATS)
     gd, gg = td[near_by], nxt[near_by].astype(float)
     seen, times = np.unique(gd * 1024 + nxt[near_by], return_counts=True)
     top = np.zeros(n_docs)
@@ -251,7 +276,7 @@ def _measure(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     g = np.maximum(by_doc(np.ones(len(gd)), gd), 1)
     mean = by_doc(gg, gd) / g
     spread = np.sqrt(np.maximum(by_doc(gg * gg, gd) / g - mean * mean, 0)) / np.maximum(mean, 1)
-    keep = np.flatnonzero(n >= LEAST)
+    keep = np.flatnonzero(n > 0)
     each = np.maximum(by_doc(w, td), 1)
     cols = [np.array(ids, np.int64), stuffed, by_doc(regular * w, td) / each, top / np.maximum(n, 1), spread, by_doc(fn.astype(float), td) / each, n.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], schema=_OUT)
