@@ -24,27 +24,54 @@ def got(df):
 # ---------------------------------------------------------------- look-alikes
 
 
+SAME = [("Ａｂｃ", "Abc"), ("Аbс", "Abc"), ("a​b­c", "abc"), ("a  b ", "a b"), ("a　b", "a b"), ("cafe\u0301", "café"), ("cafе\u0301", "café"), ("ﬁle", "file"), ("⽣命", "生命"), ("\uf90a", "金"), ("a‑b", "a-b"), ("a，b", "a,b"), ("οne", "one"), ("ρ", "p"), ("ν", "v"), ("օ", "o"), ("ɡ", "g"), ("Ꭺ", "A"), ("ꓮ", "A"), ("ⲟ", "o"), ("Ιn", "In"), ("ӓ", "ä"), ("𝐀𝐛", "Ab"), ("q\u0323\u0307", "q\u0307\u0323")]
+OTHER = [("Abc", "abc"), ("O", "0"), ("l", "1"), ("I", "l"), ("a.b", "a。b"), ("国", "國"), ("ab", "a b"), ("a–b", "a-b"), ("x²", "x2"), ("…", "..."), ("土", "士"), ("rn", "m"), ("٥", "o"), ("é", "e")]
+
+
 @pytest.fixture(scope="module")
-def plain_rewriter():
-    return lookalike.Rewriter({"a": 9, ",": 5, "-": 5, "é": 3}).compile()
+def plain_rewriter(spark):
+    used = Counter(unicodedata.normalize("NFC", "".join(x for p in SAME + OTHER for x in p))) + Counter({x: 50 for x in map(chr, range(33, 127))}) + Counter({"é": 60, "生": 9, "金": 9, "ä": 9})
+    return lookalike.Rewriter(used, lookalike.confusables(spark, [ord(c) for c in used])).compile()
 
 
-@pytest.mark.parametrize("a, b", [("Ａｂｃ", "Abc"), ("Аbс", "Abc"), ("a​b­c", "abc"), ("a  b ", "a b"), ("a　b", "a b"), ("café", "café"), ("cafе́", "café"), ("ﬁle", "file"), ("⽣命", "生命"), ("金", "金"), ("a‑b", "a-b"), ("a，b", "a,b"), ("οne", "one")])
+@pytest.mark.parametrize("a, b", SAME)
 def test_same_look(plain_rewriter, a, b):
     assert plain_rewriter(a) == plain_rewriter(b)
 
 
-@pytest.mark.parametrize("a, b", [("Abc", "abc"), ("O", "0"), ("l", "1"), ("a.b", "a。b"), ("国", "國"), ("ab", "a b"), ("a–b", "a-b"), ("x²", "x2"), ("…", "...")])
+@pytest.mark.parametrize("a, b", OTHER)
 def test_other_look(plain_rewriter, a, b):
     assert plain_rewriter(a) != plain_rewriter(b)
 
 
-def test_rewriting_is_stable(plain_rewriter):
+def test_rewriting_ends_and_is_stable(spark):
+    """Over strings of members, marks and blanks of all of Unicode, whatever the representatives."""
     rnd = random.Random(3)
-    pool = [x for g in lookalike.base_classes() for x in g][:4000] + list("abc  ​é")
-    for _ in range(300):
-        s = "".join(rnd.choice(pool) for _ in range(12))
-        assert plain_rewriter(plain_rewriter(s)) == plain_rewriter(s)
+    pool = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    shapes = lookalike.confusables(spark, [ord(c) for c in pool])
+    assert len(shapes) > 500
+    marks = [c for c in pool if unicodedata.combining(c)]
+    for seed in range(3):
+        rewrite = lookalike.Rewriter({c: rnd.randint(1, 99) for c in pool} | {chr(i): rnd.randint(1, 99) for i in range(128)}, shapes).compile()
+        for _ in range(4000):
+            s = "".join(rnd.choice(pool if rnd.random() < 0.6 else marks) if rnd.random() < 0.8 else chr(rnd.randint(32, 126)) for _ in range(9))
+            assert rewrite(rewrite(s)) == rewrite(s)
+
+
+def test_classed(spark):
+    data = [("t", 1, "abc"), ("t", 2, "аbc"), ("t", 3, "ab​c"), ("t", 3, "ab​c"), ("t", 4, "abc"), ("t", 5, None), ("t", 6, ""), ("u", 8, "abc"), ("t", None, "abc")]
+    df = rows(spark, data, "tab string, row_id bigint, text string")
+    out = lookalike.classed(df, lookalike.rewriter(df.select("text"))).collect()
+    assert {(r["tab"], r["row_id"]): (r["n_rows"], r["n_spellings"], r["n_links"]) for r in out} == {("t", 1): (4, 3, 2), ("t", 2): (4, 3, 3), ("t", 3): (4, 3, 3), ("t", 4): (4, 3, 2), ("u", 8): (1, 1, 0)}
+    assert len({r["class_id"] for r in out}) == 1 and len(out) == 5
+
+
+def test_large_classes_are_parted(spark, monkeypatch):
+    df = rows(spark, [("t", i, "ab" + "​" * (i % 3) + "c") for i in range(60)], "tab string, row_id bigint, text string")
+    rewrite = lookalike.rewriter(df.select("text"))
+    whole = got(lookalike.twins(df, rewrite))
+    monkeypatch.setattr(lookalike, "PAIRED", 7)
+    assert whole == got(lookalike.twins(df, rewrite)) and len(whole) == 60 * 40 // 2
 
 
 def test_twins(spark):

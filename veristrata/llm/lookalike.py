@@ -2,13 +2,18 @@
 
 Look-alikes are classes of strings and code points, made by union-find from pairs that a
 reader cannot tell apart: width and compatibility forms of a letter, composed and separate
-accents, letters of other scripts with the same shape, kinds of hyphens, kinds of blanks.
-The classes are transitive, so full-width Cyrillic-like forms meet their Latin twin through
-any chain of pairs. The representative of a class is the member that the corpus uses most
-(ties: the shortest, then the lowest), so texts change as little as possible. Texts are
-rewritten greedily, leftmost longest match first: single code points by a translation table,
-members of several code points by an Aho-Corasick automaton, in passes until nothing
-changes. Invisible characters go, runs of blanks become one, blanks at the ends go.
+accents, letters of other scripts with the same shape by Unicode's own table of confusables
+(of the ICU library that Spark brings along), kinds of hyphens, kinds of blanks. The classes
+are transitive, so full-width Cyrillic-like forms meet their Latin twin through any chain of
+pairs. Only code points that the corpus uses are looked at, no more than Unicode has. The
+representative of a class is the member that the corpus uses most (ties: the shortest, then
+the lowest), so texts change as little as possible. Texts are composed and then rewritten
+greedily, leftmost longest match first: single code points by a translation table, members of
+several code points by an Aho-Corasick automaton, in passes until nothing changes. That comes
+to an end: representatives are composed and stay as they are, a pass turns members into
+representatives, and only composing them with a following accent, which uses the accent up,
+can make a new member. Invisible characters go, runs of blanks become one, blanks at the ends
+go.
 
 Upper and lower case, digits and letters, different punctuation and traditional and
 simplified characters stay apart, as a reader tells them apart.
@@ -19,22 +24,20 @@ are rewritten whole; repeated rows count once; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import struct
-import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.tables import cut
 
-#: Letters of other scripts that have the shape of a Latin letter (fixed values).
+#: Signs, and letters of other scripts, that have the shape of a Latin one; the basis where no table of confusables is at hand (fixed values).
 SAME_SHAPE = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "у",
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", "G": "Ԍ", "Q": "Ԛ", "W": "Ԝ",
@@ -73,23 +76,56 @@ class Classes:
         return {k: v for k, v in out.items() if len(v) > 1}
 
 
-@functools.cache
-def base_classes() -> tuple[tuple[str, ...], ...]:
-    """The classes, from Unicode's own decompositions and ``SAME_SHAPE``."""
+def confusables(spark: SparkSession, codes: list[int]) -> dict[str, str]:
+    """Of the given code points those that look like another letter, and that letter.
+
+    Skeletons of the ICU library, all in one call. As a reader tells them apart, digits do not
+    meet letters, capitals no small letters, and Chinese characters no Chinese characters; the
+    skeleton of I and l is one, so a capital means I and a small letter l. Signs are left to
+    ``SAME_SHAPE``; scripts from right to left are left alone.
+    """
+    letters = [chr(c) for c in codes if c >= 0x80 and not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and unicodedata.bidirectional(chr(c)) == "L" and not 0xAC00 <= c < 0xD7A4]
+    if not letters:
+        return {}
+    icu = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    plain = [chr(c) for c in [*range(65, 91), *range(97, 123)]]
+    shapes = icu.getSkeleton("\n".join(letters + plain)).split("\n")
+    if len(shapes) != len(letters) + len(plain):
+        return {}
+    whole = [unicodedata.normalize("NFC", x) for x in shapes]
+    of_plain = {x: c for c, x in zip(plain, whole[len(letters) :]) if c not in "Il"}
+    out = {}
+    for c, shape in zip(letters, whole):
+        kind = unicodedata.category(c)
+        twin = of_plain.get(shape, shape)
+        if shape == "l":
+            twin = {"Lu": "I", "Ll": "l"}.get(kind, "")
+        if len(twin) != 1 or twin == c or not twin.isalpha() or (kind != "Lo" and unicodedata.category(twin) not in (kind, "Lo")) or (_is_han(c) and _is_han(twin)):
+            continue
+        out[c] = twin
+    return out
+
+
+def _is_han(c: str) -> bool:
+    return "㐀" <= c <= "鿿" or 0x20000 <= ord(c) < 0x32000
+
+
+def classes(used: Iterable[str], shapes: dict[str, str]) -> list[list[str]]:
+    """The classes among the code points that are used, their decompositions, and what they look like."""
     c = Classes()
     for base, others in SAME_SHAPE.items():
         for o in others:
             c.union(base, o)
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+    for x, y in shapes.items():
+        c.union(y, x)
+    for ch in used:
+        if ch < "\x80" or "\ud800" <= ch < "\ue000" or "가" <= ch < "\ud7a4":
             continue
-        ch = chr(code)
         d = unicodedata.decomposition(ch)
         if not d or unicodedata.category(ch) in ("Cf", "Zs", "Cn"):
             continue
-        if d[0] != "<":  # composed, or a second code point of the same character
+        if d[0] != "<":  # a second code point of the same character
             c.union(unicodedata.normalize("NFC", ch), ch)
-            c.union(unicodedata.normalize("NFC", ch), unicodedata.normalize("NFD", ch))
         elif _COMPAT.match(d):
             plain = unicodedata.normalize("NFKC", ch)
             letters = all(x.isalnum() for x in plain)
@@ -97,56 +133,66 @@ def base_classes() -> tuple[tuple[str, ...], ...]:
                 continue
             if ch.isalpha() or not letters or len(plain) == 1:
                 c.union(plain, ch)
-    return tuple(tuple(sorted(g)) for g in c.groups().values())
+    return [sorted(g) for g in c.groups().values()]
 
 
 def frequencies(texts: DataFrame) -> dict[str, int]:
-    """How often the corpus uses each code point that is in a class; no more entries than Unicode has."""
+    """How often the corpus uses each code point, texts composed; no more entries than Unicode has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = np.zeros(0x110000, bool)
-        member[[ord(x) for g in base_classes() for x in g if len(x) == 1]] = True
         total = np.zeros(0x110000, np.int64)
         for b in batches:
-            text = "".join(t for t in b.column(0).to_pylist() if t)
+            text = unicodedata.normalize("NFC", "\n".join(t for t in b.column(0).to_pylist() if t))
             part = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
             total[: len(part)] += part
-        at = np.flatnonzero((total > 0) & member)
+        at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
 
     rows = texts.mapInArrow(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return {chr(r["code"]): r["n"] for r in rows}
 
 
+#: Code points that go, and that are blanks.
+GONE = frozenset(i for i in range(0x110000) if unicodedata.category(chr(i)) == "Cf" or 0xFE00 <= i < 0xFE10 or 0xE0100 <= i < 0xE01F0) | {ord(x) for x in INVISIBLE}
+BLANKS = frozenset(i for i in range(0x3001) if chr(i).isspace() or unicodedata.category(chr(i)) == "Zs")
+_compiled: dict[int, Rewriter] = {}
+
+
 class Rewriter:
-    def __init__(self, used: dict[str, int]):
-        self.used = used
+    def __init__(self, used: dict[str, int], shapes: dict[str, str] | None = None):
+        self.used, self.shapes = used, shapes or {}
 
     def compile(self) -> Rewriter:
+        """Ready to rewrite; built once in a worker."""
+        tag = hash((frozenset(self.used.items()), frozenset(self.shapes.items())))
+        if tag not in _compiled:
+            _compiled.clear()
+            _compiled[tag] = self._compile()
+        return _compiled[tag]
+
+    def _compile(self) -> Rewriter:
         single: dict[int, str] = {}
         several: dict[str, str] = {}
         n = lambda x: self.used.get(x, 0) if len(x) == 1 else min(self.used.get(y, 0) for y in x)
-        for group in base_classes():
-            best = max(group, key=lambda x: (n(x), -len(x), [-ord(y) for y in x]))
-            for x in group:
+        for group in classes(self.used, self.shapes):
+            composed = [x for x in group if unicodedata.normalize("NFC", x) == x]
+            best = max(composed, key=lambda x: (n(x), -len(x), [-ord(y) for y in x]))
+            for x in composed:
                 if x != best:
                     if len(x) == 1:
                         single[ord(x)] = best
                     else:
                         several[x] = best
-        gone = [i for i in range(0x110000) if unicodedata.category(chr(i)) in ("Cf",) or 0xFE00 <= i < 0xFE10 or 0xE0100 <= i < 0xE01F0] + [ord(x) for x in INVISIBLE]
-        blanks = [i for i in range(0x110000) if chr(i).isspace() or unicodedata.category(chr(i)) == "Zs"]
-        self.single = single | dict.fromkeys(gone, "") | dict.fromkeys(blanks, " ")
+        self.single = single | dict.fromkeys(GONE, "") | dict.fromkeys(BLANKS, " ")
         self.several = several
-        self.marks = re.compile("[" + "".join(sorted({re.escape(x[-1]) for x in several if not x.isascii()})) + "]") if several else None
+        self.firsts = re.compile("[" + "".join(sorted({re.escape(x[0]) for x in several})) + "]") if several else None
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for x, y in several.items():
             self.automaton.add_word(x, (len(x), y))
         self.automaton.make_automaton()
-        self.ascii_several = [x for x in several if x.isascii()]
-        self.plain = not self.ascii_several and all(i >= 0x80 or not chr(i).isprintable() or i == 0x20 for i in self.single)
+        self.plain = not any(x.isascii() for x in several) and all(i >= 0x80 or not chr(i).isprintable() or i == 0x20 for i in self.single)
         return self
 
     def _greedy(self, s: str) -> str:
@@ -159,20 +205,23 @@ class Rewriter:
 
     def __call__(self, s: str) -> str:
         if not (self.plain and s.isascii() and s.isprintable()):
-            s = s.translate(self.single)
-            for _ in range(4):
+            before = None
+            while s != before:
                 before = s
-                if self.ascii_several or self.marks.search(s):
+                s = unicodedata.normalize("NFC", s).translate(self.single)
+                if self.firsts and self.firsts.search(s):
                     s = self._greedy(s)
-                    s = unicodedata.normalize("NFC", s).translate(self.single)
-                if s == before:
-                    break
         return re.sub("  +", " ", s).strip(" ") if "  " in s or s[:1] == " " or s[-1:] == " " else s
 
 
 def rewriter(texts: DataFrame) -> Rewriter:
-    return Rewriter(frequencies(texts))
+    used = frequencies(texts)
+    shapes = confusables(texts.sparkSession, [ord(c) for c in used])
+    kept = {c: n for c, n in used.items() if c < "\x80" or unicodedata.decomposition(c) or c in shapes or c in shapes.values() or c in _SHAPED}
+    return Rewriter(kept, shapes)
+
 
+_SHAPED = set(SAME_SHAPE) | {o for others in SAME_SHAPE.values() for o in others}
 
 _KEYED = pa.schema([("tab", pa.string()), ("row_id", pa.int64()), ("key", pa.binary()), ("raw", pa.int64())])
 
@@ -181,7 +230,7 @@ def keyed(rows: DataFrame, rewrite: Rewriter) -> DataFrame:
     """rows(tab, row_id, text) to (tab, row_id, key of the consistent form, key of the text as it is)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Rewriter(rewrite.used).compile()
+        own = rewrite.compile()
         for b in batches:
             texts = b.column(2).to_pylist()
             keys, raws = [], []
@@ -198,20 +247,37 @@ def consistent(rows: DataFrame, rewrite: Rewriter) -> DataFrame:
     """rows(tab, row_id, text) with each text in its one form, as ``form``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Rewriter(rewrite.used).compile()
+        own = rewrite.compile()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else own(t) for t in b.column(2).to_pylist()], pa.string())], names=["tab", "row_id", "form"])
 
     return rows.select("tab", "row_id", "text").mapInArrow(run, "tab string, row_id bigint, form string")
 
 
+#: Rows of a class that one task pairs with all others; larger classes are parted.
+PAIRED = 4_096
+
+
+def classed(rows: DataFrame, rewrite: Rewriter) -> DataFrame:
+    """One row for each row of rows(tab, row_id, text): its class, as ``class_id``, how many rows and spellings the class has, and with how many of its rows it is linked, as they look the same but differ in code points.
+
+    Copies of a text count as rows of the class; only hashes are shuffled, and counts combine on the map side.
+    """
+    k = cut(keyed(rows, rewrite).where("key is not null").dropDuplicates(["tab", "row_id", "raw"]))
+    spelt = k.groupBy("tab", "key", "raw").agg(F.count("*").alias("same"))
+    whole = spelt.groupBy("tab", "key").agg(F.sum("same").alias("n_rows"), F.count("*").alias("n_spellings"))
+    return k.join(spelt, ["tab", "key", "raw"]).join(whole, ["tab", "key"]).select("tab", "row_id", F.lower(F.hex("key")).alias("class_id"), "raw", "n_rows", "n_spellings", (F.col("n_rows") - F.col("same")).alias("n_links"))
+
+
 def twins(rows: DataFrame, rewrite: Rewriter) -> DataFrame:
-    """Distinct (tab, id_a, id_b), id_a < id_b, of rows that look the same but differ in code points.
+    """Distinct (tab, id_a, id_b), id_a < id_b, of rows that look the same but differ in code points: the classes' links, written out.
 
-    Copies of a text under many keys reach the join only if the text has another spelling.
+    Copies of a text under many keys reach the join only if the text has another spelling; a
+    class of more than ``PAIRED`` rows is parted, so no class is paired in one task.
     """
     k = cut(keyed(rows, rewrite).where("key is not null"))
-    mixed = k.groupBy("tab", "key").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("tab", "key")
-    own = k.join(mixed, ["tab", "key"], "left_semi").dropDuplicates(["tab", "row_id", "raw"])
-    a, b = (own.select("tab", "key", F.col("row_id").alias(f"id_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    return a.join(b, ["tab", "key"]).where("id_a < id_b and raw_a <> raw_b").select("tab", "id_a", "id_b").distinct()
+    mixed = k.groupBy("tab", "key").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("tab", "key", F.ceil(F.col("n") / PAIRED).cast("int").alias("parts"))
+    own = k.join(mixed, ["tab", "key"]).dropDuplicates(["tab", "row_id", "raw"])
+    a = own.select("tab", "key", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int").alias("part"), F.col("row_id").alias("id_a"), F.col("raw").alias("raw_a"))
+    b = own.select("tab", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("row_id").alias("id_b"), F.col("raw").alias("raw_b"))
+    return a.join(b, ["tab", "key", "part"]).where("id_a < id_b and raw_a <> raw_b").select("tab", "id_a", "id_b").distinct()

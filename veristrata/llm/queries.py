@@ -27,8 +27,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.twins(rows, lookalike.rewriter(rows.select("text")))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text with its class of texts that look the same."""
+    rows = _statements(spark, folder)
+    return lookalike.classed(rows, lookalike.rewriter(rows.select("text"))).select("tab", "row_id", "class_id", "n_rows", "n_spellings", "n_links").distinct()
+
+
 def p2_form(spark: SparkSession, folder: str) -> DataFrame:
-    """Each text whose consistent form differs from it."""
+    """Each text in its one form."""
     rows = _statements(spark, folder)
     formed = lookalike.consistent(rows, lookalike.rewriter(rows.select("text")))
     return formed.where("form is not null").groupBy("tab", "row_id").agg(F.max("form").alias("form"))
@@ -122,7 +128,7 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measures(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p5_surrogate_checks": p5_surrogate_checks, "p5_replaced": p5_replaced, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p5_surrogate_checks": p5_surrogate_checks, "p5_replaced": p5_replaced, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
 ORACLE: dict[str, str] = {
     "p5_surrogate_checks": "SELECT CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS parted, CAST(0 AS BIGINT) AS kept",
