@@ -188,6 +188,14 @@ class Rewriter:
         self.firsts = re.compile("[" + "".join(sorted({re.escape(x[0]) for x in several})) + "]") if several else None
         import ahocorasick
 
+        self.automaton = ahocorasick.Automaton()
+        for x, y in several.items():
+            self.automaton.add_word(x, (len(x), y))
+        self.automaton.make_automaton()
+        for table in (self.single, several):
+            for x, y in table.items():
+                if len(y) > 1:  # of members that have others in their place
+                    table[x] = self._settled(y)
         self.automaton = ahocorasick.Automaton()
         for x, y in several.items():
             self.automaton.add_word(x, (len(x), y))
@@ -196,6 +204,8 @@ class Rewriter:
         return self
 
     def _greedy(self, s: str) -> str:
+        if not self.several:
+            return s
         out, at = [], 0
         for end, (length, best) in self.automaton.iter_long(s):
             begin = end - length + 1
@@ -203,14 +213,22 @@ class Rewriter:
             at = end + 1
         return "".join((*out, s[at:])) if at else s
 
+    def _settled(self, s: str) -> str:
+        before = None
+        while s != before:
+            before = s
+            s = self._greedy(unicodedata.normalize("NFC", s).translate(self.single))
+        return s
+
     def __call__(self, s: str) -> str:
         if not (self.plain and s.isascii() and s.isprintable()):
-            before = None
-            while s != before:
-                before = s
+            while True:
                 s = unicodedata.normalize("NFC", s).translate(self.single)
-                if self.firsts and self.firsts.search(s):
-                    s = self._greedy(s)
+                t = self._greedy(s) if self.firsts and self.firsts.search(s) else s
+                # what is written in place of members holds none, so only new members of several code points or accents to compose call for another pass
+                if t == s and unicodedata.is_normalized("NFC", s):
+                    break
+                s = t
         return re.sub("  +", " ", s).strip(" ") if "  " in s or s[:1] == " " or s[-1:] == " " else s
 
 
