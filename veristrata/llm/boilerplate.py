@@ -1,21 +1,24 @@
 """The main body of web pages by a site style tree.
 
 The pages of a host are merged into one tree. Its upper nodes are the branches of a page
-(before, in and after the page's own text), its lower nodes the lines or blocks by their
-normalised content. Two importances are taken for a node. Content: how evenly it spreads over
-the pages of the host, as the entropy of the node over pages against the most it could be; a
-node on every page is worth nothing, one on a single page everything. Presentation: the share
-of the pages having it on which it hangs in the body branch, over the host and, as templates
-are shared, over all hosts, drawn to one half where a node was seen on few pages. A line is
-removed if their weighted sum is low, or if it is furniture or navigation by its look; the
-page's title, and numbered and dated entries of its own text, stay.
+(before, in and after the page's own text, and its last line), its lower nodes the lines or
+blocks by their normalised content. Two importances are taken for a node. Content: how
+unevenly it spreads over the pages, one less the entropy of the node over pages against the
+most it could be; a node on every page is worth nothing, one on a single page everything. It
+is taken over the pages of the host and over those of all hosts, as templates are shared, and
+the lesser one counts. Presentation: the share of the pages having it, of all hosts, on which
+it hangs in the body branch, drawn to one half where a node was seen on few pages. A line is
+removed if the weighted sum of both and of its look is low. Look is a feature like the others:
+wording known from menus, notices and footers speaks against a line, the form of a sentence
+or of an entry behind the page's head for it; neither decides alone. The page's title stays.
 
 Each page is looked at by itself; what is shuffled are hashes of lines. Node counts combine
 on the map side, and lines meet their nodes by a join on (host, line), which AQE splits where
 a host or a line is hot. No host is ever collected.
 
-Defined results: blank lines and null blocks are furniture; a null or blank page has no
-lines; very long pages are read whole; a page delivered twice counts once.
+Defined results: blank lines and null blocks are neither body nor furniture and give no rows;
+a null or blank page has no lines; very long pages are read whole; a page delivered twice
+gives its rows once (it counts twice in the shares of its host).
 """
 
 from __future__ import annotations
@@ -27,48 +30,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.llm import lines as L
-from veristrata.tables import cut
+from veristrata.tables import broadcast_if_small, cut
 
-W_CONTENT, W_BRANCH, LEAST_IMPORTANCE = 0.3, 0.7, 0.36
+#: Weights of the importances, and of a look against and for the line; the least sum that stays.
+W_CONTENT, W_BRANCH, W_AGAINST, W_FOR, LEAST_IMPORTANCE = 0.3, 0.7, 0.55, 0.3, 0.36
 PRIOR_PAGES = 2.0
 
-_OUT = pa.schema([("tab", pa.string()), ("row_id", pa.int64()), ("host", pa.string()), ("line_no", pa.int32()), ("key", pa.int64()), ("flags", pa.int32())])
+_OUT = pa.schema([("tab", pa.string()), ("row_id", pa.int64()), ("host", pa.string()), ("line_no", pa.int32()), ("key", pa.int64()), ("flags", pa.int32()), ("fresh", pa.int32())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         tabs, ids, hosts, titles, pages = (c.to_pylist() for c in b.columns)
         flags = [L.page(p, t) for p, t in zip(pages, titles)]
-        n = [len(p) for p in pages]
-        rep = pa.array([i for i, k in enumerate(n) for _ in range(k)], pa.int32())
-        cols = [
-            b.column(0).take(rep), b.column(1).take(rep), b.column(2).take(rep),
-            pa.array([j for k in n for j in range(k)], pa.int32()), pa.array([L.key(x or "") for p in pages for x in p], pa.int64()), pa.array([f for p in flags for f in p], pa.int32()),
-        ]
+        own = [[(j, L.key(x), f) for j, (x, f) in enumerate(zip(p, fl)) if not f & L.BLANK] for p, fl in zip(pages, flags)]
+        rep = pa.array([i for i, o in enumerate(own) for _ in o], pa.int32())
+        fresh = []
+        for o in own:
+            seen: set[int] = set()
+            for _, k, _ in o:
+                fresh.append(int(k not in seen))
+                seen.add(k)
+        cols = [b.column(0).take(rep), b.column(1).take(rep), b.column(2).take(rep), *(pa.array([x[c] for o in own for x in o], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int32()))), pa.array(fresh, pa.int32())]
         for at in range(0, max(len(rep), 1), 50_000):
             yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in cols], schema=_OUT)
 
 
-def tree(nodes: DataFrame) -> DataFrame:
-    """(tab, host, key, n_host, n_all, body_all): the pages each node is on, of the host and of all, and those with it in the body."""
-    by_page = nodes.groupBy("tab", "host", "key", "row_id").agg(F.max(F.when(F.col("flags").bitwiseAND(F.lit(L.BODY)) != 0, 1).otherwise(0)).alias("body"))
-    by_host = by_page.groupBy("tab", "host", "key").agg(F.count("*").alias("n_host"), F.sum("body").alias("body_host"))
-    everywhere = by_host.groupBy("tab", "key").agg(F.sum("n_host").alias("n_all"), F.sum("body_host").alias("body_all"))
-    return by_host.join(everywhere, ["tab", "key"])
-
-
 def remove(pages: DataFrame) -> DataFrame:
-    """(tab, row_id, line_no) of pages(tab, row_id, host, title, lines array<string>) that is not main body."""
-    rows = pages.where("row_id is not null and lines is not null").select("tab", "row_id", F.coalesce("host", F.lit("")).alias("host"), "title", "lines")
-    nodes = cut(rows.mapInArrow(_nodes, "tab string, row_id bigint, host string, line_no int, key bigint, flags int"))
+    """(tab, row_id, line_no) of pages(tab, row_id, host, title, lines array<string>) that is not main body; a row for each delivery of a page.
+
+    Nodes are first counted over all hosts; those that no host could make poor, nearly all of
+    the pages' own text, are done with. The others are counted by host, and lines meet them.
+    """
+    rows = pages.where("row_id is not null and tab is not null and lines is not null").select("tab", "row_id", F.coalesce("host", F.lit("")).alias("host"), "title", "lines")
+    nodes = cut(rows.mapInArrow(_nodes, "tab string, row_id bigint, host string, line_no int, key bigint, flags int, fresh int"))
     flag = lambda m: F.col("flags").bitwiseAND(F.lit(m)) != 0
-    sure = flag(L.FURN | L.NAV)
-    keep = flag(L.TITLE | L.SENT | L.ENTRY | L.NUMBERED) & ~flag(L.HEAD)
-    open_ = nodes.where(~sure & ~keep)
-    sizes = rows.groupBy("tab", "host").agg(F.count_distinct("row_id").alias("m"))
-    known = tree(open_).join(sizes, ["tab", "host"])
-    content = 1 - F.log(F.col("n_host").cast("double")) / F.greatest(F.log(F.col("m").cast("double")), F.lit(0.7))
+    look = F.when(flag(L.SENT | L.ENTRY | L.NUMBERED) & ~flag(L.HEAD), W_FOR).otherwise(0.0) - F.when(flag(L.FURN | L.NAV), W_AGAINST).otherwise(0.0)
+    nodes = nodes.where(~flag(L.TITLE)).select("tab", "row_id", "host", "line_no", "key", "fresh", look.alias("look"), F.when(flag(L.BODY), 1).otherwise(0).alias("body"))
+    # one less the entropy of an even spread over n of m pages
+    content = lambda n, m: F.greatest(1 - F.log(F.col(n).cast("double")) / F.greatest(F.log(F.col(m).cast("double")), F.lit(0.7)), F.lit(0.0))
     branch = (F.col("body_all") + PRIOR_PAGES / 2) / (F.col("n_all") + PRIOR_PAGES)
-    poor = known.where(W_CONTENT * F.greatest(content, F.lit(0.0)) + W_BRANCH * branch < LEAST_IMPORTANCE).select("tab", "host", "key")
-    low = open_.join(poor, ["tab", "host", "key"], "left_semi")
-    return nodes.where(sure).select("tab", "row_id", "line_no").unionByName(low.select("tab", "row_id", "line_no")).distinct()
+    sizes = cut(rows.groupBy("tab", "host").agg(F.count("*").alias("m")))
+    every = F.broadcast(sizes.groupBy("tab").agg(F.sum("m").alias("m_all")))  # a row a table
+    counted = nodes.groupBy("tab", "key").agg(F.sum("fresh").alias("n_all"), F.sum(F.col("fresh") * F.col("body")).alias("body_all"), F.min("look").alias("look"))
+    open_ = counted.select("tab", "key", "n_all", "look", branch.alias("branch")).where(W_BRANCH * F.col("branch") + F.col("look") < LEAST_IMPORTANCE)
+    open_ = cut(open_.join(every, "tab").select("tab", "key", content("n_all", "m_all").alias("c_all"), "branch"))
+    own = nodes.join(broadcast_if_small(open_), ["tab", "key"])
+    by_host = own.groupBy("tab", "host", "key", "c_all", "branch").agg(F.sum("fresh").alias("n_host"), F.min("look").alias("look")).join(broadcast_if_small(sizes), ["tab", "host"])
+    base = W_CONTENT * F.least(content("n_host", "m"), F.col("c_all")) + W_BRANCH * F.col("branch")
+    poor = cut(by_host.select("tab", "host", "key", "look", base.alias("base")).where(F.col("base") + F.col("look") < LEAST_IMPORTANCE).drop("look"))
+    return nodes.join(broadcast_if_small(poor), ["tab", "host", "key"]).where(F.col("base") + F.col("look") < LEAST_IMPORTANCE).select("tab", "row_id", "line_no")

@@ -25,7 +25,7 @@ _PIECES = re.compile(r"\s*(?:[>|｜/·»•]|\s{2,}|\t)\s*")
 _SENTENCE = re.compile(r"[。！？!?.…][”\"'）)\]]*$")
 _ENTRY = re.compile(r"^(?:\d{4}\s*[.年/-]|\d{4}\s)\s*\S|^(?:19|20)\d\d$")
 _NUMBERED = re.compile(r"^\s*(?:\d{1,3}[.、)）]|[（(]\d{1,3}[)）]|[-*•])\s*\S")
-TITLE, NAV, FURN, SENT, ENTRY, NUMBERED, HEAD, BODY, FOOT = 1, 2, 4, 8, 16, 32, 64, 128, 256
+TITLE, NAV, FURN, SENT, ENTRY, NUMBERED, HEAD, BODY, FOOT, END, BLANK = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024
 
 
 def key(line: str) -> int:
@@ -69,7 +69,7 @@ def _look(line: str) -> int:
         f |= ENTRY
     elif _NUMBERED.match(s):
         f |= NUMBERED
-    if not f and len(s) >= (12 if not s.isascii() else 30) and _SENTENCE.search(s):
+    if not f & (NAV | ENTRY | NUMBERED) and len(s) >= (12 if not s.isascii() else 30) and _SENTENCE.search(s):
         f |= SENT
     return f
 
@@ -78,9 +78,10 @@ def page(lines: list[str | None], title: str | None) -> list[int]:
     """The look of each line and the branch it hangs in: before, in or after the page's own text.
 
     The text starts with the title where it stands among the lines, else with the first
-    sentence or entry; it ends with the last of these.
+    sentence or entry; it ends with the last of these, which is a branch of its own, as it is
+    in the text by its own look alone.
     """
-    looks = [look(x) if x and x.strip() else FURN for x in lines]
+    looks = [look(x) if x and x.strip() else BLANK for x in lines]
     name = (title or "").strip()
     first = None
     if name:
@@ -90,8 +91,8 @@ def page(lines: list[str | None], title: str | None) -> list[int]:
                 looks[i] = TITLE
                 first = i
                 break
-    own = [i for i, f in enumerate(looks) if f & (SENT | ENTRY | TITLE)]
+    own = [i for i, f in enumerate(looks) if f & (SENT | ENTRY | TITLE) and not f & FURN]
     if first is None:
         first = own[0] if own else len(lines)
     last = own[-1] if own else -1
-    return [f | (HEAD if i < first else BODY if i <= last else FOOT) for i, f in enumerate(looks)]
+    return [f | (HEAD if i < first else END if i == last and not f & TITLE else BODY if i <= last else FOOT) for i, f in enumerate(looks)]

@@ -96,7 +96,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     gone = residue.exclude(hits)
     pages = hits.where("text is not null").select("tab", "row_id", "host", "title", F.split("text", "\n").alias("lines"))
     snaps = table(spark, folder, "homepage_snapshots").select(F.lit("homepage_snapshots").alias("tab"), F.col("snapshot_id").alias("row_id"), F.lower(F.regexp_extract(F.coalesce("final_url", "url"), "^[a-z]+://([^/:?#]+)", 1)).alias("host"), "title", F.col("blocks.text").alias("lines"))
-    return boilerplate.remove(pages.unionByName(snaps)).join(gone, ["tab", "row_id"], "left_anti")
+    return boilerplate.remove(pages.unionByName(snaps)).join(gone, ["tab", "row_id"], "left_anti").distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
