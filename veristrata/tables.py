@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have at most to be sent to every executor; beyond it the operators shuffle instead.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,9 +23,11 @@ def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
     return None if len(rows) > limit else rows
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where a bounded count proves the side small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where a bounded count of rows and of their bytes proves the side small; otherwise leave the join to the planner."""
+    size = sum((F.coalesce(F.length(c), F.lit(0)) if t in ("string", "binary") else F.length(F.to_json(F.struct(c))) if t.startswith(("array", "map", "struct")) else F.lit(8) for c, t in df.dtypes), F.lit(16))
+    n, b = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and b <= most_bytes else df
 
 
 def distinct_rows(df: DataFrame, *keys: str) -> DataFrame:
@@ -63,10 +65,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh place for a table in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "blank", "bounded_rows", "broadcast_if_small", "cut", "distinct_rows", "ensure_checkpoint_dir", "map_columns", "table"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "blank", "bounded_rows", "broadcast_if_small", "cut", "distinct_rows", "ensure_checkpoint_dir", "map_columns", "shared_path", "table"]
