@@ -380,15 +380,15 @@ def test_proximity_of_changed_rare_words():
             w[at : at + 1] = rnd.choice([["unknown"], ["c1"], [], [w[at], "added"], [f"r{rnd.randrange(6)}x{rnd.randrange(14)}"]])
         docs.append("before it " + " ".join(w) + " behind it")
     want = {(d, i) for d, x in enumerate(docs) for i, y in enumerate(items) if near_by_definition(x, y)}
-    assert len(want) > 30 and leaks.near(leaks.Segment(list(range(60)), docs, block), block, 2, 2) == want
+    assert len(want) > 30 and leaks.near(leaks.Segment.of_texts(list(range(60)), docs, block), block, 2, 2) == want
     # whatever shares the segment
-    assert set().union(*(leaks.near(leaks.Segment([d], [x], block), block, 2, 2) for d, x in enumerate(docs))) == want
+    assert set().union(*(leaks.near(leaks.Segment.of_texts([d], [x], block), block, 2, 2) for d, x in enumerate(docs))) == want
     # the rarest word of every window is another one
     item = "the old of the an in rarest to of the in an old the"
     block = leaks.Items([(1, "en", item)]).compile()
     for word in ("other", "old"):
-        assert leaks.near(leaks.Segment([1, 2], [item.replace("rarest", word), "rarest old"], block), block, 2, 2) == {(1, 1)}
-        assert leaks.near(leaks.Segment([1], [item.replace("rarest", word)], block), block, 2, 2) == {(1, 1)}
+        assert leaks.near(leaks.Segment.of_texts([1, 2], [item.replace("rarest", word), "rarest old"], block), block, 2, 2) == {(1, 1)}
+        assert leaks.near(leaks.Segment.of_texts([1], [item.replace("rarest", word)], block), block, 2, 2) == {(1, 1)}
 
 
 # ---------------------------------------------------------------- stuffing
@@ -452,3 +452,23 @@ def test_stuffing_by_autocorrelation(monkeypatch):
     assert share(period * 6) > 0.5
     monkeypatch.setattr(stuffing, "IN_STEP", 9)
     assert share(period * 6) < 0.5
+
+
+def test_an_index_serves_several_test_sets(spark, tmp_path, monkeypatch):
+    """The texts are gone when the second set is searched; many items make several blocks with the same result."""
+    rnd = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in "ka lo mi nu pe ra".split() for b in "st rd ng lk".split()]
+    docs = [(i, " ".join(rnd.choice(vocabulary) for _ in range(80))) for i in range(50)] + [(60, None), (61, ""), (0, "again " * 3)]
+    cut = lambda d, k: " ".join(docs[d][1].split()[k : k + 14])
+    path = str(tmp_path / "index")
+    leaks.write_index(rows(spark, docs, "doc_id bigint, text string"), path)
+    index = leaks.read_index(spark, path)
+    sets = [[(d, "en", cut(d, k)) for d, k in ((1, 3), (7, 20), (33, 60))], [(d, "en", cut(d, 5)) for d in range(20)] + [(99, "en", "not here " * 20), (98, None, None)]]
+    for items in sets:
+        want = {(d, i) for i, _, t in items if t for d, x in docs if x and t in x}
+        frame = rows(spark, items, "item_id bigint, lang string, text string")
+        assert set(got(leaks.search(index, frame))) == want
+        monkeypatch.setattr(leaks, "ITEM_CHARS", 300)
+        assert set(got(leaks.search(index, frame))) == want
+        monkeypatch.undo()
+    assert got(leaks.search(index, frame.limit(0))) == []

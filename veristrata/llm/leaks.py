@@ -1,15 +1,20 @@
 """Evaluation passages inside documents, by a distributed positional inverted index.
 
-The corpus is indexed in segments that lie where the documents lie: a segment of bounded size
-(``SEGMENT_CHARS``) turns its texts into words, keeps the words that occur in test items and
-stores their postings, positions sorted by term. Every window of ``n`` consecutive words of
-an item is looked up from its rarest term in that segment: the term's positions, less its
-offset, are the candidates, and the lists of the other terms, each moved by its own offset,
-are intersected with them until the run they have in common is known. Only hits leave a
-segment, so nothing of the corpus is shuffled, and no group of documents meets in one task.
-
-Items are sent to the segments in blocks of at most ``ITEM_BLOCK``; any number of items makes
-several passes instead of one large broadcast.
+The corpus is indexed once: segments of bounded size (``SEGMENT_CHARS``) that lie where the
+documents lie turn their texts into words and write the postings of all of them, for each term
+its positions, as gaps, in rows by (bucket of terms, segment), with a row a segment that tells
+which document is where. The index is a table in the shared folder and serves any number of
+test sets; the texts are not read again. A search reads the buckets that hold its terms, keeps
+the postings of these terms alone and brings those of a segment together; every window of
+``n`` consecutive words of an item is looked up from its rarest term in that segment: the
+term's positions, less its offset, are the candidates, and the lists of the other terms, each
+moved by its own offset, are intersected with them until the run they have in common is
+known. No group of documents meets in one task beyond a segment.
+
+Words are told by 64 bit hashes; a false hit needs a window of them to collide in order.
+Items are searched in blocks of at most ``ITEM_CHARS`` characters by a check of their length,
+so any number of items makes several reads of their own terms' postings instead of one large
+broadcast.
 
 Defined results: null and empty texts, on either side, match nothing; an item shorter than
 its window matches nothing; repeated rows of a document give one row; a text longer than a
@@ -24,11 +29,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veristrata.tables import shared_path
+
 SEGMENT_CHARS = 3_000_000
-ITEM_BLOCK = 5_000
+ITEM_CHARS = 4_000_000
+#: Parts that terms are put into by their hash; a search reads only the parts of its terms.
+BUCKETS = 64
 #: Pairs of a place in a segment and one in the items that are looked at together.
 PAIRS = 1_000_000
 #: Consecutive words that make a leak, by the item's language; others count as Latin.
@@ -103,21 +112,39 @@ class Items:
         self.owner = owner
         return self
 
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each hash in the vocabulary, and the places of those that have one."""
+        if not len(self.vocab) or not len(hashes):
+            return np.full(len(hashes), -1, np.int32), np.zeros(0, np.int64)
+        k = np.searchsorted(self.vocab, hashes)
+        k[k == len(self.vocab)] = 0
+        term = np.where(self.vocab[k] == hashes, k, -1).astype(np.int32)
+        return term, np.flatnonzero(term >= 0)
+
 
 class Segment:
-    """The positional index of some documents: for each term of the vocabulary its positions."""
-
-    def __init__(self, ids: list[int], texts: list[str], items: Items):
-        h, self.doc = words(texts)
-        k = np.searchsorted(items.vocab, h)
-        k[k == len(items.vocab)] = 0
-        self.term_at = np.where(items.vocab[k] == h, k, -1).astype(np.int32) if len(items.vocab) else np.full(len(h), -1, np.int32)
-        self.ids = np.array(ids, np.int64)
-        known = np.flatnonzero(self.term_at >= 0)
-        self.postings = known[np.argsort(self.term_at[known], kind="stable")]
-        self.df = np.bincount(self.term_at[known], minlength=len(items.vocab))
+    """The positional index of some documents, for the terms of the vocabulary of the items.
+
+    ``term``, ``at``: the postings, sorted by term, then position; ``starts``: the first position
+    of each document; ``n``: how many words there are.
+    """
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, n: int, term: np.ndarray, at: np.ndarray, n_terms: int):
+        self.ids, self.postings = ids, at
+        self.term_at = np.full(n, -1, np.int32)
+        self.term_at[at] = term
+        self.doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        self.df = np.bincount(term, minlength=n_terms)
         self.begin = np.r_[0, np.cumsum(self.df)]
 
+    @classmethod
+    def of_texts(cls, ids: list[int], texts: list[str], items: Items) -> Segment:
+        h, doc = words([_plain(t).replace(_BREAK, " ") for t in texts])
+        starts = np.searchsorted(doc, np.arange(len(ids)))
+        term, known = items.numbers(h)
+        order = np.argsort(term[known], kind="stable")
+        return cls(np.array(ids, np.int64), starts, len(h), term[known][order], known[order], len(items.vocab))
+
     def positions(self, term: int) -> np.ndarray:
         return self.postings[self.begin[term] : self.begin[term + 1]]
 
@@ -235,44 +262,159 @@ def near(segment: Segment, items: Items, slop: int, missing: int) -> set[tuple[i
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+#: Rows of the stored index: the postings of a bucket of terms in a segment, or, with bucket -1, its documents and their first positions.
+_INDEX = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("n_words", pa.int32()), ("terms", _LONGS), ("counts", _INTS), ("gaps", _INTS)])
+_INDEX_SQL = "bucket int, segment bigint, n_words int, terms array<bigint>, counts array<int>, gaps array<int>"
+
+
+def _rows(segment: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    h, doc = words(texts)
+    place = np.flatnonzero(h)
+    order = place[np.argsort(h[place], kind="stable")]
+    sorted_h = h[order]
+    first = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]]) if len(order) else np.zeros(0, np.int64)
+    terms = sorted_h[first]
+    counts = np.diff(np.r_[first, len(order)])
+    gaps = np.diff(np.r_[0, order])
+    gaps[first] = order[first]
+    part = (terms % np.uint64(BUCKETS)).astype(np.int64)
+    cols: list[list] = [[-1], [segment], [len(h)], [np.array(ids, np.int64)], [np.zeros(0, np.int32)], [np.searchsorted(doc, np.arange(len(ids))).astype(np.int32)]]
+    by_part = np.argsort(part, kind="stable")
+    for some in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(by_part) else []:
+        n = counts[some]
+        inside = np.repeat(first[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        for col, x in zip(cols, (int(part[some[0]]), segment, len(h), terms[some].astype(np.int64), n.astype(np.int32), gaps[inside].astype(np.int32))):
+            col.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _INDEX)], schema=_INDEX)
+
+
+def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    segment = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if t:
+                ids.append(i)
+                texts.append(_plain(t).replace(_BREAK, " "))
+                size += len(t)
+                if size >= SEGMENT_CHARS:
+                    yield _rows(segment, ids, texts)
+                    ids, texts, size, segment = [], [], 0, segment + 1
+    if ids:
+        yield _rows(segment, ids, texts)
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """The positional index of documents(doc_id, text), as a table at a path that all executors share."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
+    rows.mapInArrow(_indexer, _INDEX_SQL).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_INDEX_SQL).parquet(path)
+
+
+_KEPT = pa.schema([("segment", pa.int64()), ("n_words", pa.int32()), ("ids", _LONGS), ("term", _INTS), ("at", _INTS)])
+_compiled: dict[int, Items] = {}
+
+
+def _of(items: Items) -> Items:
+    """The items of a block, compiled once in a worker."""
+    tag = hash(tuple(items.rows))
+    if tag not in _compiled:
+        _compiled.clear()
+        _compiled[tag] = items.compile()
+    return _compiled[tag]
+
+
+def _keeper(items: Items):
+    """Index rows to the postings of the items' terms alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _of(items)
+        for b in batches:
+            out: list[tuple] = []
+            n_words = b.column(2).to_pylist()
+            for i, (bucket, segment) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                terms, counts, gaps = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+                if bucket < 0:
+                    out.append((segment, n_words[i], terms, np.zeros(0, np.int32), gaps))
+                    continue
+                number, known = own.numbers(terms.view(np.uint64))
+                if len(known):
+                    begin = np.r_[0, np.cumsum(counts)]
+                    n = counts[known]
+                    inside = np.repeat(begin[known] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    run_of = np.cumsum(gaps[inside], dtype=np.int64)
+                    ends = np.r_[0, run_of[np.cumsum(n)[:-1] - 1]]
+                    out.append((segment, n_words[i], np.zeros(0, np.int64), np.repeat(number[known], n), (run_of - np.repeat(ends, n)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _KEPT)], schema=_KEPT)
+
+    return run
 
 
 def _searcher(items: Items, search):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items.compile()
+    """Sorted rows of whole segments to the leaks in them."""
 
-        def flush(ids: list, texts: list) -> pa.RecordBatch:
-            found = sorted(search(Segment(ids, texts, items), items)) if ids else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _of(items)
+        now, n, ids, starts, terms, places = None, 0, None, None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
+            if terms and ids is not None:
+                term, at = np.concatenate(terms), np.concatenate(places)
+                order = np.lexsort((at, term))
+                found = sorted(search(Segment(ids, starts, n, term[order], at[order], len(own.vocab)), own))
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=_OUT)
 
-        ids: list[int] = []
-        texts: list[str] = []
-        size = 0
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t:
-                    ids.append(i)
-                    texts.append(_plain(t).replace(_BREAK, " "))
-                    size += len(t)
-                    if size >= SEGMENT_CHARS:
-                        yield flush(ids, texts)
-                        ids, texts, size = [], [], 0
-        yield flush(ids, texts)
+        for b in batches:
+            for i, segment in enumerate(b.column(0).to_pylist()):
+                if segment != now:
+                    if now is not None:
+                        yield flush()
+                    now, n, ids, starts, terms, places = segment, b.column(1)[i].as_py(), None, None, [], []
+                own_ids, term, at = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+                if len(own_ids):
+                    ids, starts = own_ids, at
+                else:
+                    terms.append(term)
+                    places.append(at)
+        if now is not None:
+            yield flush()
 
     return run
 
 
-def find(docs: DataFrame, items: DataFrame, search=exact) -> DataFrame:
-    """Distinct (doc_id, item_id) of documents(doc_id, text) that hold a window of items(item_id, lang, text)."""
-    n = items.count()
-    blocks = max(1, -(-n // ITEM_BLOCK) * (1 if n <= ITEM_BLOCK else 2))
-    source = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+def search(index: DataFrame, items: DataFrame, how=exact) -> DataFrame:
+    """Distinct (doc_id, item_id) of the documents of an index that hold a window of items(item_id, lang, text)."""
+    own = items.where("item_id is not null and text is not null").select("item_id", "lang", "text")
+    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // ITEM_CHARS) * (1 if chars <= ITEM_CHARS else 2) or 1
     parts = []
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).where("item_id is not null").select("item_id", "lang", "text").collect()
-        parts.append(source.mapInArrow(_searcher(Items([tuple(r) for r in own]), search), "doc_id bigint, item_id bigint"))
+        block = Items([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
+        buckets = sorted({int(x % BUCKETS) for x in words([_plain(t) for _, _, t in block.rows])[0] if x}) if block.rows else []
+        kept = index.where(F.col("bucket").isin([-1, *buckets])).mapInArrow(_keeper(block), "segment bigint, n_words int, ids array<bigint>, term array<int>, at array<int>")
+        parts.append(kept.repartition("segment").sortWithinPartitions("segment").mapInArrow(_searcher(block, how), "doc_id bigint, item_id bigint"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def find(docs: DataFrame, items: DataFrame, how=exact) -> DataFrame:
+    """Distinct (doc_id, item_id) of documents(doc_id, text) that hold a window of items(item_id, lang, text): indexed in the shared folder, then searched."""
+    path = shared_path(docs.sparkSession, "postings")
+    write_index(docs, path)
+    return search(read_index(docs.sparkSession, path), items, how)
+
+
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 2, missing: int = 2) -> DataFrame:
-    return find(docs, items, lambda s, i: near(s, i, slop, missing))
+    return find(docs, items, near_search(slop, missing))
+
+
+def near_search(slop: int = 2, missing: int = 2):
+    return lambda s, i: near(s, i, slop, missing)
