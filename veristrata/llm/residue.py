@@ -51,6 +51,21 @@ _NOTICE = re.compile(
     r"|[xX]{2,4}年[xX]{1,2}月[xX]{1,2}日|某某(?:学院|同学|大学|公司|老师|单位)|标题\s*[:：]\s*无标题|作者\s*[:：]\s*匿名|内容\s*[:：]\s*$|nan\s*条结果|共\s*nan\s*页|此处填写[^。\n]*。?|请在此(?:处)?(?:输入|填写)[^。\n]*。?|(?:示例|占位|样例)(?:文字|文本|内容)|测试测试|测试(?:内容|文字|数据)",
     re.I,
 )
+#: The same by parts: what is spoken of and the state it is in, in several languages (fixed values); a sentence that says more, as when and where, does not fit.
+_SUBJECT = r"(?:(?:this|the|our|your|that) )?(?:requested |web ?|user )?(?:domain(?: name)?|web ?site|site|web ?page|page|url|resource|file|document|account|profile|shop|store|server|service|system|application|app|blog|forum|listing|article|video|content|link|session|connection|browser|ip(?: address)?|host)s?"
+_STATE = r"(?:for sale|suspended|parked|closed|disabled|deactivated|deleted|removed|blocked|banned|expired|offline|down|unavailable|unreachable|inactive|restricted|forbidden|private|empty|missing|outdated|unsupported|not (?:found|available|supported|accessible|responding|working)|no longer (?:available|active|exists?|supported)|under (?:construction|maintenance)|being (?:updated|moved|redirected)|busy|overloaded)"
+_PARTS = re.compile(
+    rf"{_SUBJECT}(?:,? (?:you (?:requested|asked for|are looking for|tried to (?:open|reach)))?,? ?(?:is|are|has|have|was|were|may|might|could|has been|have been|may have been|does|do)(?: (?:been|be|currently|temporarily|permanently|now|either|not))* )(?:{_STATE}|exist)(?:(?:,| or| and|;) ?(?:{_STATE}|come back later|(?:please )?(?:try|check) (?:again|back)(?: later| soon)?))*\W*"
+    r"|(?:service (?:temporarily )?unavailable|bad gateway|gateway time-?out|internal server error|access forbidden|forbidden|page not found|not found|unauthori[sz]ed|permission denied|access denied|account suspended|domain (?:for sale|expired)|connection (?:lost|failed|refused)|login required|members only)\W*(?=$|[.!。\n])"
+    r"|you (?:do not|don't|no longer) have (?:the )?(?:permissions?|access|rights|authori[sz]ation|privileges)(?: (?:to|for|on) [^.?!\n]{0,60})?(?=[.!\n]|$)\.?|you (?:are|were) not (?:authori[sz]ed|allowed|permitted|logged in|signed in)[^.\n]{0,60}\.?|(?:verifying|checking|validating|confirming) (?:your |that you |if the )[^.\n]{0,60}\.?|(?:please )?(?:come|check|try) (?:back|again)(?: later| soon| in a (?:few )?(?:moments?|minutes?))?\W*|(?:please )?(?:log|sign) in (?:first|required|to your account)[^.\n]{0,30}\.?"
+    r"|acceso (?:denegado|restringido|prohibido)\W*|página no (?:encontrada|disponible)[^.\n]{0,40}\.?|(?:por favor,? )?(?:inicie|inicia) sesión[^.\n]{0,40}\.?|(?:por favor,? )?(?:active|activa|habilite|habilita) (?:java ?script|las cookies)[^.\n]{0,60}\.?|sitio en (?:construcción|mantenimiento)[^.\n]{0,40}\.?|página não encontrada[^.\n]{0,40}\.?|acesso negado\W*|pagina non trovata[^.\n]{0,40}\.?|accesso negato\W*"
+    r"|veuillez (?:vous (?:connecter|identifier)|activer|patienter|réessayer|vérifier)[^.\n]{0,60}\.?|(?:page|site) en (?:construction|maintenance)[^.\n]{0,40}\.?|(?:cette |la )?page (?:n'existe (?:pas|plus)|est introuvable)[^.\n]{0,40}\.?|accès (?:interdit|réservé)[^.\n]{0,30}\.?"
+    r"|wartungsarbeiten(?: – [^.\n]{0,50}|[^.\n]{0,30})\.?|bitte (?:melden sie sich an|loggen sie sich ein|warten|versuchen sie es)[^.\n]{0,40}\.?|(?:die|diese) seite (?:wurde nicht gefunden|ist (?:nicht|derzeit nicht) (?:verfügbar|erreichbar)|existiert nicht)[^.\n]{0,30}\.?|kein zugriff\W*"
+    r"|страница не (?:найдена|существует)[^.\n]{0,30}\.?|доступ (?:запрещен|запрещён|закрыт|ограничен)[^.\n]{0,30}\.?|(?:пожалуйста,? )?включите javascript[^.\n]{0,40}\.?|сайт (?:на обслуживании|временно недоступен)[^.\n]{0,30}\.?"
+    r"|(?:お探しの|この)?ページ(?:が|は)(?:見つかりません|存在しません|表示できません)(?:でした)?[。！]?|(?:この)?(?:コンテンツ|ページ)を(?:見る|閲覧する)には[^。\n]{0,30}[。！]?|ログイン(?:してください|が必要です)[。！]?|(?:ただいま|現在)?、?メンテナンス中です?[^。\n]{0,20}[。！]?|javascript ?を有効にしてください[。！]?|페이지를 찾을 수 없습니다[.!]?|접근이 (?:거부|제한)되었습니다[.!]?"
+    r"|页面(?:飞走|走丢|跑丢|丢失|消失|不见|找不到|去火星)了?[^。\n]{0,12}[。！]?|(?:您|你)?的?(?:账号|帐号|账户|帐户|设备|网络|浏览器)(?:存在|出现|有|处于)?(?:异常|风险|安全风险|被冻结|被封禁|已停用|版本过低|不受支持)[^。\n]{0,24}[。！]?|请稍[后候](?:再试|重试|再来|访问)?[。！]?|(?:该|此|本)?(?:域名|网站|店铺|账号|服务)(?:正在|已|已经|已被|暂时|现已)?(?:出售|停用|关闭|下线|过期|到期|停止服务|被封|被冻结|无法访问|不可用)[^。\n]{0,12}[。！]?",
+    re.I,
+)
 _DECORATION = re.compile(r"^\W+|\W+$|\b[\w-]+\d*\.(?:example|test|invalid|com|cn|org|net)\b|\[[\d:.\s-]+\]|\(\s*ref\.?\s*[0-9a-f]+\s*\)|请求编号\s*[:：]\s*\w*|/[\w./-]+\.html?\b|</?\w{1,6}>|\b(?=\w*\d)[0-9a-f-]{4,}\b|\bviews?\b")
 _LEAD = re.compile(r"(?:[^\w\[]+|\b[\w-]+\d+\.(?:example|test|invalid|com|cn|org|net)\b)*")
 _GAP = re.compile(r"[^\w\[]*")
@@ -90,7 +105,7 @@ def is_evidence(line: str) -> bool:
         if re.fullmatch(r"[\W_]*(?:_{2,}\W*[年月日号]?\W*){2,}\w{0,6}\W*", _DECORATION.sub(" ", s)):
             return True  # a form left blank
     at, found = _LEAD.match(s).end(), False
-    while at < len(s) and (m := _NOTICE.match(s, at)) and m.end() > at:
+    while at < len(s) and (m := _NOTICE.match(s, at) or _PARTS.match(s, at)) and m.end() > at:
         found, at = True, _GAP.match(s, m.end()).end()
     if found:
         return _words(_DECORATION.sub(" ", s[at:])) <= 2.5
