@@ -92,7 +92,7 @@ def test_levels(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")], "src string, dst string")
     assert dict((r[0], r[1]) for r in J.levels(spark, edges).collect()) == {"a": 0, "x": 0, "b": 1, "c": 2}
     with pytest.raises(ValueError):
-        J.levels(spark, spark.createDataFrame([("a", "b"), ("b", "a"), ("z", "a")], "src string, dst string"), 5)
+        J.levels(spark, spark.createDataFrame([("a", "b"), ("b", "a"), ("z", "a")], "src string, dst string"))
 
 
 def test_limiter_against_brute_force(spark):

@@ -3,11 +3,11 @@
 import pytest
 from sqlcheck import connection, rows
 
-from veristrata import catalog
+from veristrata import catalog, records
 from veristrata import queries as core
 
-QUERIES = core.QUERIES | catalog.QUERIES
-ORACLE = core.ORACLE | catalog.ORACLE
+QUERIES = core.QUERIES | catalog.QUERIES | records.QUERIES
+ORACLE = core.ORACLE | catalog.ORACLE | records.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -297,9 +297,8 @@ def event_ledger(s, d):
 
 def search_budget(s, d):
     """Searches of a site in order of arrival against a budget of a dozen: how many ran, and whether it was used up."""
-    h = table(s, d, "search_hits").where("hit_id is not null").groupBy("hit_id", "site").agg(F.min("fetched_at").alias("first"))
-    n = h.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("first", "hit_id")))
-    return n.groupBy("site").agg(F.count_if(F.col("n") <= 12).alias("ran"), (F.count("*") > 12).alias("exhausted"))
+    n = table(s, d, "search_hits").where("hit_id is not null").select("hit_id", "site").distinct().groupBy("site").agg(F.count("*").alias("n"))
+    return n.select("site", F.least("n", F.lit(12).cast("bigint")).alias("ran"), (F.col("n") > 12).alias("exhausted"))
 
 
 def repost_groups(s, d):
@@ -324,7 +323,7 @@ def publisher_is_party(s, d):
 
 def element_gaps(s, d):
     """By category and field: elements stated, and those no valid evidence proves."""
-    v = _verdicts(s, d).select("claim_key", F.split("unproved", "；").alias("open"))
+    v = E.judged(_claims(s, d), _evidence(s, d)).select("claim_key", "open")
     c = _claims(s, d).select("claim_key", "category", "elements").join(v, "claim_key").select("category", "open", F.explode("elements").alias("e"))
     return c.groupBy("category", T.element_field(F.col("e")).alias("field")).agg(F.count("*").alias("stated"), F.count_if(F.array_contains("open", F.col("e"))).alias("open"))
 
@@ -444,6 +443,13 @@ ORACLE = {
     "research_ids": _W + r", t AS (SELECT 'claims' AS tab, claim_key AS row_id, raw_text AS t FROM c1 UNION ALL SELECT 'documents', doc_id, text FROM documents) SELECT DISTINCT tab, row_id, unnest(list_concat(regexp_extract_all(t, '\b(10\.[0-9]{4,9}/[A-Za-z0-9._()/-]*[A-Za-z0-9])', 1), regexp_extract_all(t, '\barXiv:([0-9]{4}\.[0-9]{4,5})', 1))) AS work_id FROM t WHERE t IS NOT NULL",
     "labelled_fields": r"WITH l AS (SELECT route_id, unnest(string_split(excerpt, chr(10))) AS line, generate_subscripts(string_split(excerpt, chr(10)), 1) AS line_no FROM contact_routes) SELECT route_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_extract(line, '^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$', 1)) AS label, trim(regexp_extract(line, '^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$', 2)) AS value FROM l WHERE regexp_matches(line, '^\s*([^:：]{1,12})\s*[:：]\s*(\S.*)$')",
     "event_ledger": f"WITH {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, event_id) AS seq FROM lg) SELECT user_id, count(*) > 80 AS truncated, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY seq) FILTER (seq <= 80) AS events FROM n GROUP BY 1",
+    "publisher_keys": _W + rf""", p AS (SELECT publisher, count(*) AS n FROM e1 WHERE publisher IS NOT NULL GROUP BY 1), a AS (SELECT publisher, list_concat([trim(regexp_replace(regexp_replace(publisher, '[（(][^（）()]*[)）]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))], list_transform(regexp_extract_all(publisher, '[（(]([^（）()]{{2,}})[)）]', 1), lambda x: trim(x))) AS l FROM p),
+x AS (SELECT publisher, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM a), y AS (SELECT publisher, v, min(i) AS i FROM x WHERE v <> '' GROUP BY 1, 2) SELECT p.publisher, {_COMPACT.format('p.publisher')} AS key, coalesce(vs, '') AS aliases, n FROM p LEFT JOIN (SELECT publisher, string_agg(v, ' | ' ORDER BY i) AS vs FROM y GROUP BY 1) USING (publisher)""",
+    "rate_limited": r"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT user_id, n, event_id, TRUE AS admitted, CAST(NULL AS TIMESTAMP) AS p1, ts AS p2 FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.event_id, r.p1 IS NULL OR e.ts - r.p1 >= INTERVAL 12 HOUR, CASE WHEN r.p1 IS NULL OR e.ts - r.p1 >= INTERVAL 12 HOUR THEN r.p2 ELSE r.p1 END, CASE WHEN r.p1 IS NULL OR e.ts - r.p1 >= INTERVAL 12 HOUR THEN e.ts ELSE r.p2 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT event_id, admitted FROM r""",
+    "report_json": _WV + r""", c AS (SELECT c1.report_id, '[' || string_agg('{"claim_key":' || c1.claim_key || CASE WHEN claim_no IS NULL THEN '' ELSE ',"claim_no":' || to_json(claim_no) END || ',"status":' || to_json(vv.status) || CASE WHEN vv.best_tier IS NULL THEN '' ELSE ',"best_tier":' || to_json(vv.best_tier) END || CASE WHEN c1.elements IS NULL THEN '' ELSE ',"elements":' || to_json(c1.elements) END || '}', ',' ORDER BY c1.claim_key) || ']' AS claims FROM c1 JOIN vv USING (claim_key) GROUP BY 1)
+SELECT r1.report_id, '{"report_id":' || r1.report_id || CASE WHEN report_no IS NULL THEN '' ELSE ',"report_no":' || to_json(report_no) END || CASE WHEN candidate_name IS NULL THEN '' ELSE ',"candidate_name":' || to_json(candidate_name) END || CASE WHEN claims IS NULL THEN '' ELSE ',"claims":' || claims END || '}' AS document FROM r1 LEFT JOIN c USING (report_id)""",
     "search_budget": "WITH h AS (SELECT hit_id, site, min(fetched_at) AS first FROM search_hits WHERE hit_id IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first, hit_id) AS n FROM h) SELECT site, count(*) FILTER (n <= 12) AS ran, count(*) > 12 AS exhausted FROM n GROUP BY 1",
     "repost_groups": _W + ", o AS (SELECT nullif(trim(CASE WHEN origin_url = '' THEN url ELSE origin_url END), '') AS origin, claim_key, site FROM e1 WHERE origin_url IS NOT NULL) SELECT origin, count(*) AS n, count(DISTINCT claim_key) AS claims, count(DISTINCT site) AS sites FROM o WHERE origin IS NOT NULL GROUP BY 1",
     "time_fit": _W + f", e AS (SELECT evidence_id, claim_key, {_YEAR.format('published_at')} AS y FROM e1), c AS (SELECT claim_key, {_YEAR.format('date_start')} AS a, {_YEAR.format('date_end')} AS b FROM c1) SELECT evidence_id, CAST(y AS BIGINT) AS year FROM e JOIN c USING (claim_key) WHERE y BETWEEN a - 1 AND coalesce(b, a) + 1",

@@ -59,8 +59,8 @@ def best_copy(evidence: DataFrame) -> DataFrame:
     return evidence.where("claim_key is not null").withColumn("_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
 
 
-def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per claim: status, best tier, proved and unproved elements, and whether a person must look."""
+def judged(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per claim: status, best tier, proved elements, the open ones as a list, and whether a person must look."""
     empty = F.array().cast("array<string>")
     e = best_copy(scored(evidence))
     gather = lambda c, cond: F.array_distinct(F.flatten(F.collect_list(F.when(cond, F.coalesce(c, empty)))))
@@ -81,5 +81,11 @@ def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     proved = F.filter("elements", lambda x: F.array_contains(F.coalesce(F.col("sup"), empty), x))
     return j.select(
         "claim_key", "report_id", status.alias("status"), F.coalesce("tier_valid", "tier_all").alias("best_tier"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.size("elements").alias("n_elements"), F.size(proved).alias("n_proved"),
-        F.array_join(F.filter("elements", lambda x: ~F.array_contains(F.coalesce(F.col("sup"), empty), x)), "；").alias("unproved"), (status.isin("ask", "who") | F.coalesce("doubt", F.lit(False))).alias("needs_human"),
+        F.filter("elements", lambda x: ~F.array_contains(F.coalesce(F.col("sup"), empty), x)).alias("open"), (status.isin("ask", "who") | F.coalesce("doubt", F.lit(False))).alias("needs_human"),
     )
+
+
+def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``judged`` with the open elements as one text."""
+    j = judged(claims, evidence)
+    return j.select(*[F.array_join("open", "；").alias("unproved") if c == "open" else c for c in j.columns])
