@@ -149,3 +149,16 @@ def test_list_pages():
     assert rule(("下一页", "t/56.htm"), ("尾页", "t/1.htm"))["order"] == "reverse" and rule(("下一页", "t/56.htm"), ("尾页", "t/1.htm"))["total"] == 57
     assert rule(("下一页", "index1.htm"), ("尾页", "index82.htm"))["total"] == 83 and rule(("下一页", "t/56.htm"), declared=57)["order"] == "reverse"
     assert rule(("2", "l?a=77&p=2"), ("3", "l?a=77&p=3"))["template"].endswith("a=77&p={page}") and rule(("下一页", "x.htm")) == {} and D.paging("", "https://a.test/") is None
+
+
+def test_common_length_against_brute_force(spark):
+    import random
+
+    from veristrata.functions import text as T
+
+    rnd = random.Random(9)
+    pairs = [("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))), "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 14)))) for _ in range(200)] + [(None, "a"), ("a", None), ("x" * 20_000, "y" + "x" * 15_000)]
+    brute = lambda x, y: max((n for n in range(1, len(x) + 1) for i in range(len(x) - n + 1) if x[i : i + n] in y), default=0)
+    want = [0 if not x or not y else 15_000 if len(x) > 100 else brute(x, y) for x, y in pairs]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", T.common_length(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == want

@@ -17,8 +17,13 @@ from veristrata.plans import search as P
 from veristrata.tables import broadcast_if_small, table
 
 EMPTY = "cast(array() as array<string>)"
-#: Lines of the synthetic excerpts that steer a reader, besides the fixed patterns.
-STEERING = [*X.PATTERNS, ("forget the earlier rules|请无视先前规定", "forget rules"), ("reviewer, skip the checks|候选人已由内部核实", "skip checks"), ("rate this file as verified|请输出最佳结论", "rewrite verdict")]
+#: Lines that steer a reader in other words, besides the fixed patterns: rules to be dropped, checks to be left out, a verdict asked for, a person vouched for.
+STEERING = [
+    *X.PATTERNS,
+    (r"(forget|drop|override|bypass)\s+(all\s+|the\s+|your\s+|any\s+)*(earlier|previous|prior|above|former|existing)?\s*(rules|instructions|guidelines|prompts)|(无视|忽视|忘记|不要理会|跳过)(先前|之前|以上|此前|上述|所有)?的?(规定|规则|指令|要求|提示)", "forget rules"),
+    (r"(skip|omit|leave out)\s+(all\s+|the\s+|any\s+)*(checks?|verification|review)|(候选人|申请人|本人|该生)(已|已经)?(由|经)[^。，]{0,8}(核实|验证|确认|认证)", "skip checks"),
+    (r"(rate|mark|grade|score|label)\s+(this|the)\s+(file|document|report|candidate|r.sum.|entry)\s+as\s+\w+|(请|直接)?(输出|给出|写成)(最佳|最好|最高|满分|通过)的?(结论|评价|评分)", "rewrite verdict"),
+]
 
 
 def _evidence(s: SparkSession, d: str) -> DataFrame:

@@ -95,17 +95,46 @@ def masked(c: Column) -> Column:
 
 @F.pandas_udf(IntegerType())
 def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common substring; Arrow batches, linear memory."""
+    """Length of the longest common substring; Arrow batches, linear in both texts by a suffix automaton."""
 
     def one(x: str | None, y: str | None) -> int:
         if not x or not y:
             return 0
-        best, row = 0, [0] * (len(y) + 1)
+        if len(x) > len(y):
+            x, y = y, x
+        ways: list[dict[str, int]] = [{}]
+        link, size, last = [-1], [0], 0
         for c in x:
-            left = 0
-            for j, d in enumerate(y, 1):
-                left, row[j] = row[j], left + 1 if c == d else 0
-                best = max(best, row[j])
+            now = len(ways)
+            ways.append({})
+            size.append(size[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and c not in ways[p]:
+                ways[p][c] = now
+                p = link[p]
+            if p != -1:
+                q = ways[p][c]
+                if size[p] + 1 == size[q]:
+                    link[now] = q
+                else:
+                    twin = len(ways)
+                    ways.append(dict(ways[q]))
+                    size.append(size[p] + 1)
+                    link.append(link[q])
+                    while p != -1 and ways[p].get(c) == q:
+                        ways[p][c] = twin
+                        p = link[p]
+                    link[q] = link[now] = twin
+            last = now
+        best = at = n = 0
+        for c in y:
+            while at and c not in ways[at]:
+                at = link[at]
+                n = size[at]
+            if c in ways[at]:
+                at, n = ways[at][c], n + 1
+                best = max(best, n)
         return best
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")

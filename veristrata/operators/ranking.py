@@ -22,7 +22,8 @@ def top(df: DataFrame, group: list[str], order: list[Column | str], k: int, name
 
 def interleave(df: DataFrame, group: str, bucket: str, order: list[Column | str], tie: list[Column | str], budget: int) -> DataFrame:
     """Rows of a group read in turns: the first of each bucket, then the second, up to a budget."""
-    turn = df.withColumn("turn", F.row_number().over(W.partitionBy(group, bucket).orderBy(*order)))
+    # no bucket can give more than the budget, so Spark keeps few rows of each before the second window
+    turn = df.withColumn("turn", F.row_number().over(W.partitionBy(group, bucket).orderBy(*order))).where(F.col("turn") <= budget)
     return turn.withColumn("read_no", F.row_number().over(W.partitionBy(group).orderBy("turn", *tie))).where(F.col("read_no") <= budget)
 
 

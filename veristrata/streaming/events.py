@@ -1,7 +1,7 @@
 """Streams of events: metering windows, duplicates inside the watermark, limiter and quota as state.
 
 State is bounded: windows and duplicates leave with the watermark, the limiter keeps at most
-``limit`` times a key and drops idle keys, the quota keeps one counter a key.
+``limit`` times a key and drops idle keys, the quota keeps a counter a key and period.
 """
 
 from __future__ import annotations
@@ -48,13 +48,19 @@ def limited(events: DataFrame, limit: int, seconds: int, late: str = "1 hour") -
     return own.groupBy("user_id").applyInPandasWithState(step, out, "passed array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def within_quota(events: DataFrame, quota: int) -> DataFrame:
-    """The first ``quota`` events of each key."""
+def within_quota(events: DataFrame, quota: int, period_days: int = 30, late: str = "1 hour") -> DataFrame:
+    """The first ``quota`` events of each key in each period; the counter of a period leaves when the watermark has passed its end."""
+    width = period_days * 86_400
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"]).head(max(0, quota - used))
         state.update((used + len(rows),))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * width * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy()})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint", "used int", "append", GroupStateTimeout.NoTimeout)
+    own = events.select("user_id", "event_id", "ts").withWatermark("ts", late).withColumn("period", F.floor(F.unix_seconds("ts") / width))
+    return own.groupBy("user_id", "period").applyInPandasWithState(step, "user_id bigint, event_id bigint", "used int", "append", GroupStateTimeout.EventTimeTimeout)

@@ -59,9 +59,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if where is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import atexit
+        import shutil
         import tempfile
 
         where = tempfile.mkdtemp(prefix="veristrata-checkpoint-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     sc.setCheckpointDir(where)
 
 
