@@ -111,6 +111,18 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.count_tokens(table(spark, folder, "documents")))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: containers over capacity, texts not placed whole, texts split that would fit, places taken twice, and containers beyond the least that the tokens need."""
+    counted = cut(packing.count_tokens(table(spark, folder, "documents")))
+    packed = cut(packing.pack(counted))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.count_distinct("position").alias("p"))
+    a = full.agg(F.count_if(F.col("t") > packing.CAPACITY).alias("overfull"), F.count_if(F.col("n") != F.col("p")).alias("clashes"), (F.count("*") - F.ceil(F.sum("t") / packing.CAPACITY)).cast("bigint").alias("beyond_least"))
+    whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("pieces"))
+    once = counted.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most"), F.count("*").alias("rows"))
+    b = once.join(whole, "doc_id", "left").agg(F.count_if(F.coalesce("t", F.lit(-1)) != F.col("n_tokens")).alias("incomplete"), F.count_if((F.col("most") <= packing.CAPACITY) & (F.col("pieces") > F.col("rows"))).alias("split"))
+    return a.join(b)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
 
@@ -128,8 +140,15 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.measures(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p5_surrogate_checks": p5_surrogate_checks, "p5_replaced": p5_replaced, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_form": p2_form, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_surrogates": p5_surrogates, "p5_surrogate_checks": p5_surrogate_checks, "p5_replaced": p5_replaced, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p8_checks": p8_checks, "p9_found": p9_found, "p9_proximity": p9_proximity, "p10_found": p10_found, "p10_measures": p10_measures}
 
 ORACLE: dict[str, str] = {
     "p5_surrogate_checks": "SELECT CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS parted, CAST(0 AS BIGINT) AS kept",
+    "p8_checks": "SELECT CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS clashes, CAST(0 AS BIGINT) AS beyond_least, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS split",
+    # all windows of words of both sides as texts, joined
+    "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(lower(regexp_replace(text, '[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g')), '０１２３４５６７８９ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', '0123456789abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+|[\x{3400}-\x{9fff}]') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, CASE WHEN lang = 'zh' THEN 20 ELSE 12 END AS n, regexp_extract_all(lower(text), '[a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+|[\x{3400}-\x{9fff}]') AS w FROM benchmark_items WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS k FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[p : p + n - 1], ' ') AS k FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT unnest([12, 20]) AS n)))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, k)""",
 }
