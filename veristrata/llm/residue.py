@@ -3,9 +3,11 @@
 Lines are normalised (digits apart) and counted by host: on what share of the host's distinct
 texts a line stands. A line is evidence if error messages, unfilled placeholders, filler or notices
 that scripts, a log-in or a check are required are all it says; a line that merely mentions
-such things says more. Of a record that has evidence, lines that recur on its host, or look
-like the furniture of a page, are subtracted as boilerplate; the record is excluded if
-nothing else is left. Sentences, dated and numbered entries are text, however often they recur.
+such things says more. Of a record that has evidence, lines that recur on its host, or over
+all hosts, are subtracted as boilerplate; the record is excluded if nothing else is left. Lines
+that look like the furniture of a page vary behind their first words, as a counter or the
+title of the next page does, and are counted by these; it is the counts that decide, not the
+look. Sentences, dated and numbered entries are text, however often they recur.
 
 Only lines that such records have left are counted, by a semi-join before the shuffle, and the
 counts combine on the map side, so a host with a third of all records is no single task.
@@ -119,13 +121,26 @@ def is_evidence(line: str) -> bool:
 _OUT = pa.schema([("tab", pa.string()), ("row_id", pa.int64()), ("host", pa.string()), ("open", pa.list_(pa.int64()))])
 
 
+_PARTS_OF = re.compile(r"[:：©|｜>»·/、&]|\d+|\s{2,}|[-–—] ")
+
+
+def head(line: str) -> str:
+    """The first words of a line of furniture, up to what varies."""
+    s = line.strip().lower()
+    return next((p.strip() for p in _PARTS_OF.split(s) if len(p.strip()) > 1), s)
+
+
+def line_key(line: str) -> int:
+    return L.key("\x02" + head(line)) if L.look(line) & (L.FURN | L.NAV) else L.key(line)
+
+
 _IDS = re.compile(r"\W*(?=\w*\d)[0-9a-f-]{4,}\W*")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records with evidence, each with the keys of its lines that are neither evidence nor furniture by their look.
+    """Records with evidence, each with the keys of its other lines.
 
-    A record with a sentence or an entry among these has real text and is left out. The record's own title is no boilerplate, however often it recurs; its key is counted nowhere.
+    A record with a sentence or an entry among these, that is no furniture by its look, has real text and is left out. The record's own title is no boilerplate, however often it recurs; its key is counted nowhere.
     """
     memo: dict[str, bool] = {}
     for b in batches:
@@ -147,10 +162,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     others.append(line)
             if seen:
                 own = (title or "").strip()
-                others = [x for x in others if x.strip() == own or not L.look(x) & (L.FURN | L.NAV) and not _IDS.fullmatch(x)]
-                if any(L.look(x) & (L.SENT | L.ENTRY | L.NUMBERED) for x in others):
+                others = [x for x in others if x.strip() == own or not _IDS.fullmatch(x)]
+                if any(L.look(x) & (L.SENT | L.ENTRY | L.NUMBERED) and not L.look(x) & (L.FURN | L.NAV) for x in others):
                     continue
-                rest = [row_id ^ 0x5DEECE66D if x.strip() == own else L.key(x) for x in others]
+                rest = [row_id ^ 0x5DEECE66D if x.strip() == own else line_key(x) for x in others]
                 for col, x in zip(out, (tab, row_id, host, rest)):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _OUT)], schema=_OUT)
@@ -158,7 +173,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        k = [sorted({L.key(x) for x in t.split("\n") if x and not x.isspace()}) for t in b.column(3).to_pylist()]
+        k = [sorted({line_key(x) for x in t.split("\n") if x and not x.isspace()}) for t in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(k, pa.list_(pa.int64()))], names=["tab", "content", "host", "keys"])
 
 
