@@ -187,8 +187,8 @@ def exclude(rows: DataFrame) -> DataFrame:
     lines = pages.mapInArrow(_keys, "tab string, content bigint, host string, keys array<bigint>")
     # lines that are asked about alone go on to the counts
     lines = lines.select("tab", "host", "content", F.explode("keys").alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
-    by_host = lines.distinct().groupBy("tab", "host", "key").agg(F.count("*").alias("n"))
-    sizes = pages.select("tab", "host", "content").distinct().groupBy("tab", "host").agg(F.count("*").alias("m"))
+    by_host = cut(lines.distinct().groupBy("tab", "host", "key").agg(F.count("*").alias("n")))
+    sizes = cut(pages.select("tab", "host", "content").distinct().groupBy("tab", "host").agg(F.count("*").alias("m")))
     often = lambda share: F.col("n") >= F.greatest(1 + share * (F.col("m") - 1), F.lit(LEAST_TEXTS))
     everywhere = by_host.groupBy("tab", "key").agg(F.sum("n").alias("n")).join(sizes.groupBy("tab").agg(F.sum("m").alias("m")), "tab").where(often(RECURRENT_ALL)).select("tab", "key")
     here = by_host.join(sizes, ["tab", "host"]).where(often(RECURRENT)).select("tab", "host", "key")
