@@ -28,8 +28,22 @@ _NUMBERED = re.compile(r"^\s*(?:\d{1,3}[.、)）]|[（(]\d{1,3}[)）]|[-*•])\s
 TITLE, NAV, FURN, SENT, ENTRY, NUMBERED, HEAD, BODY, FOOT, END, BLANK = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024
 
 
+_keys: dict[str, int] = {}
+
+
 def key(line: str) -> int:
     """A short line without its digits, a long one as it is."""
+    if len(line) > 60:
+        return _key(line)
+    k = _keys.get(line)
+    if k is None:
+        if len(_keys) > 100_000:
+            _keys.clear()
+        k = _keys[line] = _key(line)
+    return k
+
+
+def _key(line: str) -> int:
     s = line.strip().lower()
     return xxhash.xxh64_intdigest(_DIGITS.sub("0", s) if len(s) <= 40 else s) - (1 << 63)
 

@@ -130,8 +130,19 @@ def head(line: str) -> str:
     return next((p.strip() for p in _PARTS_OF.split(s) if len(p.strip()) > 1), s)
 
 
+_line_keys: dict[str, int] = {}
+
+
 def line_key(line: str) -> int:
-    return L.key("\x02" + head(line)) if L.look(line) & (L.FURN | L.NAV) else L.key(line)
+    """The key that a line is counted by: of its first words where it looks like furniture, else of all of it."""
+    k = _line_keys.get(line)
+    if k is None:
+        k = L.key("\x02" + head(line)) if L.look(line) & (L.FURN | L.NAV) else L.key(line)
+        if len(line) <= 60:
+            if len(_line_keys) > 100_000:
+                _line_keys.clear()
+            _line_keys[line] = k
+    return k
 
 
 _IDS = re.compile(r"\W*(?=\w*\d)[0-9a-f-]{4,}\W*")
@@ -143,29 +154,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A record with a sentence or an entry among these, that is no furniture by its look, has real text and is left out. The record's own title is no boilerplate, however often it recurs; its key is counted nowhere.
     """
     memo: dict[str, bool] = {}
+
+    def evidence(line: str) -> bool:
+        e = memo.get(line)
+        if e is None:
+            e = is_evidence(line)
+            if len(line) < 80:
+                if len(memo) > 50_000:
+                    memo.clear()
+                memo[line] = e
+        return e
+
     for b in batches:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for tab, row_id, host, title, text in zip(*(c.to_pylist() for c in b.columns)):
-            others: list[str] = []
-            seen = False
-            for line in text.split("\n"):
-                e = memo.get(line)
-                if e is None:
-                    e = is_evidence(line)
-                    if len(line) < 80:
-                        if len(memo) > 50_000:
-                            memo.clear()
-                        memo[line] = e
-                if e:
-                    seen = True
-                elif line and not line.isspace():
-                    others.append(line)
-            if seen:
-                own = (title or "").strip()
-                others = [x for x in others if x.strip() == own or not _IDS.fullmatch(x)]
-                if any(L.look(x) & (L.SENT | L.ENTRY | L.NUMBERED) and not L.look(x) & (L.FURN | L.NAV) for x in others):
-                    continue
-                rest = [row_id ^ 0x5DEECE66D if x.strip() == own else line_key(x) for x in others]
+        for tab, row_id, title, host, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 2, 4))):
+            lines = [x for x in text.split("\n") if x and not x.isspace()]
+            own = (title or "").strip()
+            # a sentence or an entry that is no evidence is real text; the longest lines tell soonest
+            if len(lines) > 1 and any(L.look(x) & (L.SENT | L.ENTRY | L.NUMBERED) and not L.look(x) & (L.FURN | L.NAV) and not _IDS.fullmatch(x) and not evidence(x) for x in sorted(lines, key=len, reverse=True)):
+                continue
+            others = [x for x in lines if not evidence(x)]
+            if len(others) < len(lines):  # so a text of one line has none left
+                rest = [row_id ^ 0x5DEECE66D if x.strip() == own else line_key(x) for x in others if x.strip() == own or not _IDS.fullmatch(x)]
                 for col, x in zip(out, (tab, row_id, host, rest)):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _OUT)], schema=_OUT)
