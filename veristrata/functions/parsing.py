@@ -61,6 +61,55 @@ def repository(url: Column) -> Column:
     return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), owner.alias("owner"), F.nullif(repo, F.lit("")).alias("repo"), F.nullif(F.concat(pr, commit), F.lit("")).alias("id")))
 
 
+#: Labels of files by their path, and of what a path's names point at (fixed values).
+DOCUMENT, TEST, BUILD, CODE, OTHER = "文档", "测试", "配置/构建", "代码（功能/修复/架构需进一步核对）", "其他/未确认"
+HINTS = [(r"/(?:frontend|components|ui|views)/", "界面相关命名路径"), (r"/(?:runtime|scheduler|inference)/", "运行时/调度/推理命名路径"), (r"/(?:training|train)/", "训练相关命名路径"), (r"/(?:storage|database|db)/", "存储/数据库命名路径"), (r"/(?:server|backend|api)/", "服务/接口命名路径")]
+
+
+def file_kind(path: Column) -> Column:
+    """What a file of a repository is by its path: document, test, build, code or other, the first that fits."""
+    p = F.lower(F.coalesce(path, F.lit("")))
+    kinds = [
+        (r"^docs?/|\.(?:md|rst|txt)$", DOCUMENT), (r"(?:^|/)(?:tests?|__tests__)(?:/|$)|[._](?:test|spec)\.", TEST),
+        (r"^(?:\.github|ci)/|\.(?:ya?ml|toml)$|(?:^|/)(?:dockerfile|makefile|package\.json|tsconfig\.json|cargo\.lock|requirements\.txt)$", BUILD), (r"\.(?:py|[jt]sx?|go|rs|java|c|cpp|h|cc|cs|rb|vue)$", CODE),
+    ]
+    out = F.when(p.rlike(kinds[0][0]), kinds[0][1])
+    for pattern, label in kinds[1:]:
+        out = out.when(p.rlike(pattern), label)
+    return out.otherwise(OTHER)
+
+
+def path_hint(path: Column) -> Column:
+    """What the names in a path point at; documents and build files have hints of their own."""
+    kind, p = file_kind(path), F.concat(F.lit("/"), F.lower(F.coalesce(path, F.lit(""))))
+    out = F.when(kind == DOCUMENT, "文档/说明材料").when(kind == BUILD, "构建或配置路径")
+    for pattern, label in HINTS:
+        out = out.when(p.rlike(pattern), label + "（具体职责须结合 diff 复核）")
+    return out.otherwise("仅凭路径不能确认技术领域")
+
+
+def registry_of(url: Column) -> Column:
+    """The company register that an address is an entry of, else an empty text; https, no user, no other port."""
+    first = r"^https://(?:(?:www|m|m-harmony)\.)?qcc\.com(?::443)?/firm/[a-zA-Z0-9_-]+\.html(?:[?#].*)?$"
+    second = r"^https://(?:(?:www|m)\.)?tianyancha\.com(?::443)?/company/[a-zA-Z0-9_-]+(?:/sifa)?/?(?:[?#].*)?$"
+    return F.when(url.rlike(first), "企查查").when(url.rlike(second), "天眼查").otherwise("")
+
+
+def is_more(text: Column) -> Column:
+    """True for a label that only leads on, as 'more' or 'read all'."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
+    return t.rlike(r"(?i)^[\[【（(]?(?:更多|查看更多|了解更多|查看全部|查看全文|全文|详情|详细|阅读全文|阅读更多|more|readmore)[\]】）)]?[>»+›]*$|^[>»+›]+$")
+
+
+def slug_rank(url: Column, slugs: list[tuple[str, int]]) -> Column:
+    """The rank of the last of the two last parts of an address's path that is a known slug, without ending and digits; null where none is."""
+    path = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
+    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.regexp_replace(F.regexp_replace(x, r"\.(?:s?html?|jsp|php|aspx?)$", ""), r"\d+$", ""))
+    ranks = F.create_map(*[F.lit(x) for p in slugs for x in p])
+    hits = F.filter(F.transform(F.reverse(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2)), lambda x: F.element_at(ranks, x)), lambda x: x.isNotNull())
+    return F.try_element_at(hits, F.lit(1))
+
+
 def fits_latin1(c: Column) -> Column:
     """True if a header can carry the value: no character beyond one byte."""
     return c.isNotNull() & ~F.coalesce(c, F.lit("")).rlike(r"[^\x00-\xFF]")

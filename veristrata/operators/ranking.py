@@ -27,6 +27,17 @@ def interleave(df: DataFrame, group: str, bucket: str, order: list[Column | str]
     return turn.withColumn("read_no", F.row_number().over(W.partitionBy(group).orderBy("turn", *tie))).where(F.col("read_no") <= budget)
 
 
+def relevance(blob: Column, name: Column, entities: Column, elements: Column) -> Column:
+    """How much of a statement a text shows: parts of the name count 3, what the statement names 2, its elements 1, a word of announcements 1; values of one character tell nothing."""
+    seen = lambda v: (F.length(v) >= 2) & F.contains(blob, v)
+    count = lambda a: F.size(F.filter(a, lambda v: F.coalesce(seen(v), F.lit(False))))
+    names = F.split(F.trim(F.coalesce(name, F.lit(""))), r"\s+")
+    named = F.array(*[F.element_at(entities, F.lit(k)) for k in ("org", "award", "contest", "dept", "role", "title")])
+    values = F.transform(F.coalesce(elements, F.array().cast("array<string>")), lambda e: F.when(F.instr(e, "=") > 0, F.substring(e, F.instr(e, "=") + 1, F.length(e))).otherwise(e))
+    word = F.when(blob.rlike("公示|名单|获奖|通知|公告|录取|授予|表彰"), 1).otherwise(0)
+    return (count(names) * 3 + F.when(entities.isNull(), 0).otherwise(count(named)) * 2 + count(values) + word).cast("bigint")
+
+
 def keyed_first_place_last_value(df: DataFrame, keys: list[str], ordinal: str, values: list[str]) -> DataFrame:
     """Of rows with one key, the first position with the last values."""
     return df.groupBy(*keys).agg(F.min(ordinal).alias("first_place"), *[F.max_by(v, ordinal).alias(v) for v in values])

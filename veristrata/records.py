@@ -327,6 +327,36 @@ def batch_report(s, d):
     return _hits(s, d).groupBy("registry_sources", why.alias("outcome")).agg(F.count("*").alias("n")).groupBy("outcome").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def file_kinds(s, d):
+    """Files by their path and what it points at; the paths are made of ``part``."""
+    paths = ["docs/a.md", "src/api/main.go", "tests/test_x.py", "a/Dockerfile", "web/components/x.vue", "train/loop.py", "img/a.png", "core/db/table.rs", "ci/run.sh", "scheduler/run.java", "a/b.spec.ts"]
+    p = F.element_at(F.array(*[F.lit(x) for x in paths]), (F.col("p_partkey") % len(paths) + 1).cast("int"))
+    return table(s, d, "part").select(p.alias("path")).groupBy("path", P.file_kind(F.col("path")).alias("kind"), P.path_hint(F.col("path")).alias("hint")).agg(F.count("*").alias("n"))
+
+
+def registry_links(s, d):
+    """Entries of company registers among addresses; the addresses are made of ``part``."""
+    k = F.col("p_partkey").cast("string")
+    forms = F.array(F.concat(F.lit("https://www.qcc.com/firm/a"), k, F.lit(".html")), F.concat(F.lit("http://www.qcc.com/firm/a"), k, F.lit(".html")), F.concat(F.lit("https://m.tianyancha.com/company/"), k, F.lit("/sifa")), F.concat(F.lit("https://qcc.com.evil.example/firm/"), k, F.lit(".html")))
+    return table(s, d, "part").select("p_partkey", P.registry_of(F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("registry"))
+
+
+SLUGS = [("awards", 0), ("news", 1), ("people", 2), ("list", 3), ("p", 9)]
+
+
+def slugs_ranked(s, d):
+    """Addresses by the rank of their last known path part; the parts are made of the names of hits' hosts."""
+    url = F.concat(F.lit("https://a.example/"), F.substring_index("site", ".", 1), F.lit("/list"), F.col("hit_id").cast("string"), F.when(F.col("hit_id") % 2 == 0, F.lit("/")).otherwise(F.lit("x.htm")))
+    return _hits(s, d).groupBy(P.slug_rank(url, SLUGS).alias("place")).agg(F.count("*").alias("n"))
+
+
+def evidence_relevance(s, d):
+    """How much of its claim a piece of evidence shows: the candidate's name, what the claim names, its elements, and words of announcements."""
+    c = _claims(s, d).join(_reports(s, d).select("report_id", "candidate_name"), "report_id", "left").select("claim_key", "candidate_name", "entities", "elements")
+    e = _evidence(s, d).select("evidence_id", "claim_key", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))).alias("blob"))
+    return e.join(c, "claim_key").select("evidence_id", R.relevance(F.col("blob"), F.col("candidate_name"), F.col("entities"), F.col("elements")).alias("score"))
+
+
 def _escaped(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -365,7 +395,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         users_admins_first, quota_raised, quota_after, session_users, session_purge, open_counts, pending_guard, requests_pending, requests_mine, settings_shown, access_kept, cache_fresh, login_found, first_enabled, user_search_key, access_paths, qualified_units, query_variants, candidate_forms, repository_links,
-        header_values, numerals, autumn_claims, model_json, archive_pages, page_totals, company_named, claim_schools, wrapped_risks, venue_sites, contacts_valid, claim_routes, award_stage, merged_cells, claims_selected, pages_followed, html_blocks, html_items, profiles_matched, domain_specs, links_scored, notices_located, columns_ranked, query_sources, routes_markdown, batch_report, documents_focused,
+        header_values, numerals, autumn_claims, model_json, archive_pages, page_totals, company_named, claim_schools, wrapped_risks, venue_sites, contacts_valid, claim_routes, award_stage, merged_cells, claims_selected, pages_followed, file_kinds, registry_links, slugs_ranked, evidence_relevance, html_blocks, html_items, profiles_matched, domain_specs, links_scored, notices_located, columns_ranked, query_sources, routes_markdown, batch_report, documents_focused,
     )
 }
 
@@ -425,6 +455,12 @@ SELECT route_id, CAST(i AS INTEGER) AS i, kind, coalesce({_PUBLIC} AND (contains
     "merged_cells": "WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag END AS a FROM lineitem), f AS (SELECT l_linenumber, a IS NULL AS carried, last_value(a IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS award FROM t) SELECT award, carried, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM f WHERE award IS NOT NULL GROUP BY 1, 2",
     "claims_selected": _W + " SELECT claim_key, claim_key IN (SELECT claim_key FROM e1 WHERE claim_key IS NOT NULL) AS selected FROM c1",
     "pages_followed": _W + f", g AS (SELECT DISTINCT url AS src, origin_url AS dst FROM e1 WHERE origin_url IS NOT NULL AND trim(origin_url) <> ''), s0 AS {_WEB}, s1 AS (SELECT DISTINCT dst AS page FROM s0 JOIN g ON page = src WHERE dst NOT IN (SELECT page FROM s0)), s2 AS (SELECT DISTINCT dst AS page FROM s1 JOIN g ON page = src WHERE dst NOT IN (SELECT page FROM s0) AND dst NOT IN (SELECT page FROM s1)) SELECT step, n FROM (SELECT 0 AS step, count(*) AS n FROM s0 UNION ALL SELECT 1, count(*) FROM s1 UNION ALL SELECT 2, count(*) FROM s2) WHERE n > 0",
+    "file_kinds": f"WITH t(o, path, kind, hint) AS (VALUES (0, 'docs/a.md', '{P.DOCUMENT}', '文档/说明材料'), (1, 'src/api/main.go', '{P.CODE}', '服务/接口命名路径（具体职责须结合 diff 复核）'), (2, 'tests/test_x.py', '{P.TEST}', '仅凭路径不能确认技术领域'), (3, 'a/Dockerfile', '{P.BUILD}', '构建或配置路径'), (4, 'web/components/x.vue', '{P.CODE}', '界面相关命名路径（具体职责须结合 diff 复核）'), (5, 'train/loop.py', '{P.CODE}', '训练相关命名路径（具体职责须结合 diff 复核）'), (6, 'img/a.png', '{P.OTHER}', '仅凭路径不能确认技术领域'), (7, 'core/db/table.rs', '{P.CODE}', '存储/数据库命名路径（具体职责须结合 diff 复核）'), (8, 'ci/run.sh', '{P.BUILD}', '构建或配置路径'), (9, 'scheduler/run.java', '{P.CODE}', '运行时/调度/推理命名路径（具体职责须结合 diff 复核）'), (10, 'a/b.spec.ts', '{P.TEST}', '仅凭路径不能确认技术领域')) SELECT path, kind, hint, count(*) AS n FROM part JOIN t ON p_partkey % 11 = o GROUP BY 1, 2, 3",
+    "registry_links": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '企查查' WHEN 2 THEN '天眼查' ELSE '' END AS registry FROM part",
+    "slugs_ranked": _W + r", x AS (SELECT list_transform(list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '\.(?:s?html?|jsp|php|aspx?)$', ''), '\d+$', '')) AS p FROM (SELECT 'https://a.example/' || string_split(site, '.')[1] || '/list' || hit_id || CASE WHEN hit_id % 2 = 0 THEN '/' ELSE 'x.htm' END AS url FROM h1)), m AS (SELECT MAP {'awards': 0, 'news': 1, 'people': 2, 'list': 3, 'p': 9} AS m) SELECT coalesce(m[p[len(p)]], CASE WHEN len(p) > 1 THEN m[p[len(p) - 1]] END) AS place, count(*) AS n FROM x, m GROUP BY 1",
+    "evidence_relevance": _W + r""", x AS (SELECT evidence_id, coalesce(e1.title, '') || ' ' || coalesce(snippet, '') AS blob, candidate_name, entities, c1.elements FROM e1 JOIN c1 USING (claim_key) LEFT JOIN (SELECT report_id, candidate_name FROM r1) USING (report_id))
+SELECT evidence_id, CAST(3 * len(list_filter(regexp_split_to_array(trim(coalesce(candidate_name, '')), '\s+'), lambda w: length(w) >= 2 AND contains(blob, w))) + 2 * len(list_filter(['org', 'award', 'contest', 'dept', 'role', 'title'], lambda k: length(entities[k]) >= 2 AND contains(blob, entities[k])))
+ + len(list_filter(coalesce(elements, []), lambda e: length(CASE WHEN contains(e, '=') THEN substr(e, instr(e, '=') + 1) ELSE e END) >= 2 AND contains(blob, CASE WHEN contains(e, '=') THEN substr(e, instr(e, '=') + 1) ELSE e END))) + CASE WHEN regexp_matches(blob, '公示|名单|获奖|通知|公告|录取|授予|表彰') THEN 1 ELSE 0 END AS BIGINT) AS score FROM x""",
     "html_blocks": r"""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY fetched_at) AS rn FROM homepage_snapshots WHERE snapshot_id IS NOT NULL) WHERE rn = 1), b AS (SELECT snapshot_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i FROM p),
 x AS (SELECT snapshot_id, i, CASE WHEN b.t IN ('h', 'li') THEN b.t ELSE 'p' END AS t, trim(regexp_replace(coalesce(b.text, ''), '[\s\p{Z}]+', ' ', 'g')) AS text FROM b), y AS (SELECT *, lag({'t': t, 'x': text}) OVER (PARTITION BY snapshot_id ORDER BY i) AS before FROM x WHERE text <> ''),
 h AS (SELECT snapshot_id, unnest(hidden_texts) AS text FROM p), z AS (SELECT snapshot_id, t, text FROM y WHERE before IS NULL OR before <> {'t': t, 'x': text} UNION ALL SELECT snapshot_id, 'hidden', trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) FROM h WHERE trim(text) <> '')
