@@ -1,15 +1,13 @@
-"""Reading the tables of a data folder, and small helpers shared by the operators."""
+"""Reading the tables of a data folder, broadcasts by a checked size, and cuts of lineage in the shared folder."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have at most to be sent to every executor; beyond it the operators shuffle instead.
+#: Rows and bytes a side may have at most to be sent to every executor; beyond them the operators shuffle instead.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
@@ -17,12 +15,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
-    """The rows of a small table, or None if it has more than ``limit``: the check before anything is broadcast."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where a bounded count of rows and of their bytes proves the side small; otherwise leave the join to the planner."""
     size = sum((F.coalesce(F.length(c), F.lit(0)) if t in ("string", "binary") else F.length(F.to_json(F.struct(c))) if t.startswith(("array", "map", "struct")) else F.lit(8) for c, t in df.dtypes), F.lit(16))
@@ -30,28 +22,8 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: i
     return F.broadcast(df) if n <= limit and b <= most_bytes else df
 
 
-def distinct_rows(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys).distinct()
-
-
-def blank(c: Column) -> Column:
-    """True where a text is null or has nothing but blanks."""
-    return c.isNull() | (F.trim(F.regexp_replace(c, r"[\s  -‏ ⁠　﻿]+", " ")) == "")
-
-
-def map_columns(fn: Callable[..., dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for ``mapInArrow``: ``fn`` gets the columns of a batch as lists by name and returns lists by name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(**{n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return run
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a local one is set only where none is (tests)."""
+    """Checkpoints go to the folder the cluster names; a local one is set only where none is (tests), and removed at the end."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -78,6 +50,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "blank", "bounded_rows", "broadcast_if_small", "cut", "distinct_rows", "ensure_checkpoint_dir", "map_columns", "shared_path", "table"]
