@@ -472,3 +472,31 @@ def test_an_index_serves_several_test_sets(spark, tmp_path, monkeypatch):
         assert set(got(leaks.search(index, frame))) == want
         monkeypatch.undo()
     assert got(leaks.search(index, frame.limit(0))) == []
+
+
+def test_rows_of_the_index_are_bounded(spark, tmp_path, monkeypatch):
+    """However much a segment holds, its postings lie in rows of few kilobytes, and a passage is found across them."""
+    rnd = random.Random(12)
+    vocabulary = ["the", "of", *(f"term{i}" for i in range(3000))]
+    word = lambda: vocabulary[min(int(rnd.expovariate(0.004)), rnd.randrange(len(vocabulary)))]
+    docs = [(i, " ".join(word() for _ in range(4000))) for i in range(10)]
+    items = [(d, "en", " ".join(docs[d][1].split()[k : k + 13])) for d, k in ((1, 0), (4, 2000), (9, 3987))]
+    path = str(tmp_path / "index")
+    leaks.write_index(rows(spark, docs, "doc_id bigint, text string").coalesce(1), path)
+    index = leaks.read_index(spark, path)
+    size = index.where("bucket >= 0").selectExpr("sum(size(gaps)) as n", "max(size(gaps)) as most", "max(size(terms)) as terms").first()
+    assert size["n"] == 40_000 and size["most"] <= 512 and size["terms"] <= 512
+    frame = rows(spark, items, "item_id bigint, lang string, text string")
+    want = brute_leaks(docs, items)
+    assert len(want) >= 3 and sorted(got(leaks.search(index, frame))) == want
+    monkeypatch.setattr(leaks, "PAIRS", 2)
+    block = leaks.Items(items).compile()
+    assert sorted(leaks.exact(leaks.Segment.of_texts([d for d, _ in docs], [t for _, t in docs], block), block)) == want
+
+
+def test_words_by_pieces(monkeypatch):
+    texts = ["one two", "...", "three", "", "四五 six", "?", ""]
+    want = leaks.words(texts)
+    for size in (1, 4, 9, 100):
+        monkeypatch.setattr(leaks, "PIECE_CHARS", size)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(leaks.words_by_pieces(texts), want))

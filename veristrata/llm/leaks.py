@@ -2,8 +2,10 @@
 
 The corpus is indexed once: segments of bounded size (``SEGMENT_CHARS``) that lie where the
 documents lie turn their texts into words and write the postings of all of them, for each term
-its positions, as gaps, in rows by (bucket of terms, segment), with a row a segment that tells
-which document is where. The index is a table in the shared folder and serves any number of
+its positions, as gaps, in rows by (bucket of terms, segment) of ``ROW_POSTINGS`` postings at
+most, with a row a segment that tells which document is where. Batches between Spark and Python
+are counted in rows, so rows of bounded size bound what a task holds, however many segments it
+reads. The index is a table in the shared folder and serves any number of
 test sets; the texts are not read again. A search reads the buckets that hold its terms, keeps
 the postings of these terms alone and brings those of a segment together; every window of
 ``n`` consecutive words of an item is looked up from its rarest term in that segment: the
@@ -36,8 +38,14 @@ from veristrata.tables import shared_path
 
 SEGMENT_CHARS = 3_000_000
 ITEM_CHARS = 4_000_000
+#: Characters whose words are made at a time; a longer text is still taken whole.
+PIECE_CHARS = 250_000
+#: Most postings in a row of the index, and in a row that a search sends on.
+ROW_POSTINGS = 512
 #: Parts that terms are put into by their hash; a search reads only the parts of its terms.
 BUCKETS = 64
+#: Bytes of a row group of the index, which a task that writes or reads it holds at once.
+ROW_GROUP_BYTES = 16 << 20
 #: Pairs of a place in a segment and one in the items that are looked at together.
 PAIRS = 1_000_000
 #: Consecutive words that make a leak, by the item's language; others count as Latin.
@@ -95,6 +103,21 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.cumsum(breaks)
 
 
+def words_by_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``words`` says, made of some texts at a time."""
+    hashes, owners = [], []
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PIECE_CHARS or i == len(texts) - 1:
+            h, doc = words(texts[begin : i + 1])
+            gap = 1 if begin else 0  # the 0 between two texts
+            hashes.append(np.r_[np.zeros(gap, np.uint64), h])
+            owners.append(np.r_[np.full(gap, begin, np.int64), doc + begin])
+            begin, size = i + 1, 0
+    return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 class Items:
     """The test items of a block: their words as numbers of one vocabulary, and their windows."""
 
@@ -171,23 +194,27 @@ def exact(segment: Segment, items: Items) -> set[tuple[int, int]]:
     places = anchors(items, segment.df)
     if not len(places):
         return set()
-    lists = [segment.positions(items.terms[q]) for q in places]
-    p = np.concatenate(lists)
-    q = np.repeat(places, [len(x) for x in lists])
     end_p, end_q = len(segment.term_at), len(items.terms)
-    run = np.ones(len(p), np.int32)
-    for step in (1, -1):
-        live = np.arange(len(p))
-        for k in range(1, int(items.need.max())):
-            a, b = p[live] + step * k, q[live] + step * k
-            ok = (a >= 0) & (a < end_p) & (b >= 0) & (b < end_q)
-            ok[ok] = (segment.term_at[a[ok]] == items.terms[b[ok]]) & (items.terms[b[ok]] >= 0)
-            live = live[ok]
-            if not len(live):
-                break
-            run[live] += 1
-    hit = run >= items.need[q]
-    return set(zip(segment.ids[segment.doc[p[hit]]].tolist(), items.ids[q[hit]].tolist()))
+    out: set[tuple[int, int]] = set()
+    pairs = np.cumsum(segment.df[items.terms[places]]) // PAIRS
+    for some in np.split(places, np.flatnonzero(np.diff(pairs)) + 1):
+        lists = [segment.positions(items.terms[x]) for x in some]
+        p = np.concatenate(lists)
+        q = np.repeat(some, [len(x) for x in lists])
+        run = np.ones(len(p), np.int32)
+        for step in (1, -1):
+            live = np.arange(len(p))
+            for k in range(1, int(items.need.max())):
+                a, b = p[live] + step * k, q[live] + step * k
+                ok = (a >= 0) & (a < end_p) & (b >= 0) & (b < end_q)
+                ok[ok] = (segment.term_at[a[ok]] == items.terms[b[ok]]) & (items.terms[b[ok]] >= 0)
+                live = live[ok]
+                if not len(live):
+                    break
+                run[live] += 1
+        hit = run >= items.need[q]
+        out |= set(zip(segment.ids[segment.doc[p[hit]]].tolist(), items.ids[q[hit]].tolist()))
+    return out
 
 
 def near_anchors(items: Items, df: np.ndarray, missing: int) -> np.ndarray:
@@ -263,30 +290,50 @@ def near(segment: Segment, items: Items, slop: int, missing: int) -> set[tuple[i
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-#: Rows of the stored index: the postings of a bucket of terms in a segment, or, with bucket -1, its documents and their first positions.
+#: Rows of the stored index: postings of a bucket of terms in a segment, each term's first position in the row and the gaps behind it, or, with bucket -1, its documents and their first positions.
 _INDEX = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("n_words", pa.int32()), ("terms", _LONGS), ("counts", _INTS), ("gaps", _INTS)])
 _INDEX_SQL = "bucket int, segment bigint, n_words int, terms array<bigint>, counts array<int>, gaps array<int>"
 
 
-def _rows(segment: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    h, doc = words(texts)
+def _lists(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """The values as lists that begin at the starts."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values))
+
+
+def _parted(group: np.ndarray) -> np.ndarray:
+    """Where rows begin, for values with the number of their group in order: with each group, and after ``ROW_POSTINGS`` values in one."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    inside = np.arange(len(group)) - np.repeat(begin, np.diff(np.r_[begin, len(group)]))
+    return np.flatnonzero(inside % ROW_POSTINGS == 0)
+
+
+def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1 ... of every span of n places, one span after the other."""
+    return np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def _rows(segment: int, ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    h, doc = words_by_pieces(texts)
+    starts = np.searchsorted(doc, np.arange(len(ids))).astype(np.int32)
+    one = np.zeros(1, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([segment], pa.int64()), pa.array([len(h)], pa.int32()), _lists(one, np.array(ids, np.int64)), _lists(one, np.zeros(0, np.int32)), _lists(one, starts)], schema=_INDEX)
     place = np.flatnonzero(h)
-    order = place[np.argsort(h[place], kind="stable")]
-    sorted_h = h[order]
-    first = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]]) if len(order) else np.zeros(0, np.int64)
-    terms = sorted_h[first]
-    counts = np.diff(np.r_[first, len(order)])
-    gaps = np.diff(np.r_[0, order])
-    gaps[first] = order[first]
-    part = (terms % np.uint64(BUCKETS)).astype(np.int64)
-    cols: list[list] = [[-1], [segment], [len(h)], [np.array(ids, np.int64)], [np.zeros(0, np.int32)], [np.searchsorted(doc, np.arange(len(ids))).astype(np.int32)]]
-    by_part = np.argsort(part, kind="stable")
-    for some in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(by_part) else []:
-        n = counts[some]
-        inside = np.repeat(first[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        for col, x in zip(cols, (int(part[some[0]]), segment, len(h), terms[some].astype(np.int64), n.astype(np.int32), gaps[inside].astype(np.int32))):
-            col.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _INDEX)], schema=_INDEX)
+    if not len(place):
+        return
+    part = (h[place] % np.uint64(BUCKETS)).astype(np.int32)
+    order = np.lexsort((h[place], part))  # stable: positions stay in order
+    at, term, part = place[order], h[place][order], part[order]
+    row = _parted(part)
+    new = np.r_[True, term[1:] != term[:-1]]
+    new[row] = True
+    first = np.flatnonzero(new)
+    gaps = np.diff(at, prepend=0)
+    gaps[first] = at[first]
+    in_row = np.searchsorted(first, row)
+    counts = np.diff(np.r_[first, len(at)])
+    yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(np.full(len(row), segment, np.int64)), pa.array(np.full(len(row), len(h), np.int32)), _lists(in_row, term[first].view(np.int64)), _lists(in_row, counts.astype(np.int32)), _lists(row, gaps.astype(np.int32))], schema=_INDEX)
 
 
 def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,23 +350,24 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(_plain(t).replace(_BREAK, " "))
                 size += len(t)
                 if size >= SEGMENT_CHARS:
-                    yield _rows(segment, ids, texts)
+                    yield from _rows(segment, ids, texts)
                     ids, texts, size, segment = [], [], 0, segment + 1
     if ids:
-        yield _rows(segment, ids, texts)
+        yield from _rows(segment, ids, texts)
 
 
 def write_index(docs: DataFrame, path: str) -> None:
     """The positional index of documents(doc_id, text), as a table at a path that all executors share."""
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
-    rows.mapInArrow(_indexer, _INDEX_SQL).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_indexer, _INDEX_SQL).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_INDEX_SQL).parquet(path)
 
 
-_KEPT = pa.schema([("segment", pa.int64()), ("n_words", pa.int32()), ("ids", _LONGS), ("term", _INTS), ("at", _INTS)])
+_KEPT = pa.schema([("segment", pa.int64()), ("n_words", pa.int32()), ("ids", _LONGS), ("starts", _INTS), ("term", _INTS), ("at", _INTS)])
+_KEPT_SQL = "segment bigint, n_words int, ids array<bigint>, starts array<int>, term array<int>, at array<int>"
 _compiled: dict[int, Items] = {}
 
 
@@ -338,22 +386,25 @@ def _keeper(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _of(items)
         for b in batches:
-            out: list[tuple] = []
-            n_words = b.column(2).to_pylist()
-            for i, (bucket, segment) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                terms, counts, gaps = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5))
-                if bucket < 0:
-                    out.append((segment, n_words[i], terms, np.zeros(0, np.int32), gaps))
-                    continue
-                number, known = own.numbers(terms.view(np.uint64))
-                if len(known):
-                    begin = np.r_[0, np.cumsum(counts)]
-                    n = counts[known]
-                    inside = np.repeat(begin[known] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    run_of = np.cumsum(gaps[inside], dtype=np.int64)
-                    ends = np.r_[0, run_of[np.cumsum(n)[:-1] - 1]]
-                    out.append((segment, n_words[i], np.zeros(0, np.int64), np.repeat(number[known], n), (run_of - np.repeat(ends, n)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _KEPT)], schema=_KEPT)
+            whole = b.column(0).to_numpy() < 0
+            if whole.any():
+                d = b.filter(pa.array(whole))
+                none = _lists(np.zeros(len(d), np.int64), np.zeros(0, np.int32))
+                yield pa.RecordBatch.from_arrays([d.column(1), d.column(2), d.column(3), d.column(5), none, none], schema=_KEPT)
+                b = b.filter(pa.array(~whole))
+            terms, counts, gaps = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+            number, known = own.numbers(terms.view(np.uint64))
+            if not len(known):
+                continue
+            n = counts[known].astype(np.int64)
+            begin = np.r_[0, np.cumsum(counts, dtype=np.int64)[:-1]]
+            at = np.cumsum(gaps[_spans(begin[known], n)], dtype=np.int64)
+            at -= np.repeat(np.r_[0, at[np.cumsum(n)[:-1] - 1]], n)
+            row = np.repeat(np.repeat(np.arange(len(b)), b.column(3).value_lengths().to_numpy())[known], n)
+            segment = b.column(1).to_numpy()[row]
+            rows = _parted(segment)
+            none = np.zeros(len(rows), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(segment[rows]), b.column(2).take(pa.array(row[rows])), _lists(none, np.zeros(0, np.int64)), _lists(none, np.zeros(0, np.int32)), _lists(rows, np.repeat(number[known], n)), _lists(rows, at.astype(np.int32))], schema=_KEPT)
 
     return run
 
@@ -363,28 +414,27 @@ def _searcher(items: Items, search):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _of(items)
-        now, n, ids, starts, terms, places = None, 0, None, None, [], []
+        now, n = None, 0
+        pools: list[list[np.ndarray]] = [[] for _ in range(4)]
 
         def flush() -> pa.RecordBatch:
+            ids, starts, term, at = (np.concatenate(x) for x in pools)
             found: list[tuple[int, int]] = []
-            if terms and ids is not None:
-                term, at = np.concatenate(terms), np.concatenate(places)
+            if len(term) and len(ids):
                 order = np.lexsort((at, term))
                 found = sorted(search(Segment(ids, starts, n, term[order], at[order], len(own.vocab)), own))
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=_OUT)
 
         for b in batches:
-            for i, segment in enumerate(b.column(0).to_pylist()):
-                if segment != now:
+            segments = b.column(0).to_numpy()
+            begin = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]]) if len(b) else np.zeros(0, np.int64)
+            for i, end in zip(begin.tolist(), [*begin[1:].tolist(), len(b)]):
+                if segments[i] != now:
                     if now is not None:
                         yield flush()
-                    now, n, ids, starts, terms, places = segment, b.column(1)[i].as_py(), None, None, [], []
-                own_ids, term, at = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3, 4))
-                if len(own_ids):
-                    ids, starts = own_ids, at
-                else:
-                    terms.append(term)
-                    places.append(at)
+                    now, n, pools = segments[i], b.column(1)[i].as_py(), [[] for _ in range(4)]
+                for pool, c in zip(pools, (2, 3, 4, 5)):
+                    pool.append(b.column(c).slice(i, end - i).flatten().to_numpy(zero_copy_only=False))
         if now is not None:
             yield flush()
 
@@ -400,7 +450,7 @@ def search(index: DataFrame, items: DataFrame, how=exact) -> DataFrame:
     for b in range(blocks):
         block = Items([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
         buckets = sorted({int(x % BUCKETS) for x in words([_plain(t) for _, _, t in block.rows])[0] if x}) if block.rows else []
-        kept = index.where(F.col("bucket").isin([-1, *buckets])).mapInArrow(_keeper(block), "segment bigint, n_words int, ids array<bigint>, term array<int>, at array<int>")
+        kept = index.where(F.col("bucket").isin([-1, *buckets])).mapInArrow(_keeper(block), _KEPT_SQL)
         parts.append(kept.repartition("segment").sortWithinPartitions("segment").mapInArrow(_searcher(block, how), "doc_id bigint, item_id bigint"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
