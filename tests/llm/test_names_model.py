@@ -57,3 +57,19 @@ def test_ties_over_blocks_link_to_none(spark):
     assert names.link(frame(spark, ["A. Berg", "O. Stone"]), known, 1).count() == 1
 
 
+def test_model_is_of_all_names(spark, folder, known, monkeypatch):
+    """Names beyond MODEL_NAMES count too: the same model, the same places, the same links."""
+    odd = [*ROWS, (20, "org", "海", None), (21, "org", "海大", ""), (22, "org", "青川大学", "Qingchuan University"), (22, "org", "青川大学", "Qingchuan University"), (23, None, "No Kind", None), (24, "person", "Solo", None), (25, "org", "𠀀川大学 A", "Ba Chuan"), (26, "org", "青河大学", "Qinghe University")]
+    names_ = known.selectExpr("name_id", "kind", "full_name", "latin_name").unionByName(spark.createDataFrame(odd, "name_id bigint, kind string, full_name string, latin_name string"))
+    rows = [tuple(r) for r in names_.collect()]
+    want, (model, placed) = names.Model(rows), names.Model.of_all(names_, len(rows))
+    for x in "most_words most_chars common wide heads tails kinds pool syllables".split():
+        assert getattr(want, x) == getattr(model, x), x
+    placed = [tuple(r) for r in placed.collect()]
+    assert sorted(map(str, (r[:4] for r in placed))) == sorted(map(str, rows))
+    assert all(r[4] == len(want.parts(names.plain(r[2]))[0]) for r in placed if r[1] == "org" and names._HAN.search(names.plain(r[2])))
+    c = table(spark, folder, "claims")
+    values = c.selectExpr("'claims' as tab", "claim_key as row_id", "'org' as field", "'org' as kind", "entities['org'] as value").unionByName(c.selectExpr("'claims' as tab", "claim_key as row_id", "'advisor' as field", "'person' as kind", "entities['advisor'] as value"))
+    one = links(spark, values, known, names.NAME_BLOCK)
+    monkeypatch.setattr(names, "MODEL_NAMES", 10)
+    assert one and one == links(spark, values, known, names.NAME_BLOCK) == links(spark, values, known, 60)

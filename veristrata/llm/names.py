@@ -18,8 +18,9 @@ uses, but a known character in its stead makes it another place. Names of person
 allow no error at all. A spelling that fits several entries equally well links to none.
 
 What is known of names in general, kinds of institutions, characters and syllables of places,
-parts of surnames, is learnt once, from all known names or, beyond ``MODEL_NAMES``, from so
-many by the hash of their number. The lookup goes over the known names in blocks of
+parts of surnames, is learnt once, from all known names: beyond ``MODEL_NAMES`` it is counted
+where the names lie, with the same result, and only what passed its threshold is brought
+together. The lookup goes over the known names in blocks of
 ``NAME_BLOCK``; every block gives its best entries with their costs and the best of all blocks
 wins, so the blocks do not change the links. Every distinct spelling is resolved once, over
 counts that combine on the map side. Rows then join their spelling; AQE splits a spelling
@@ -34,17 +35,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import pairwise
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veristrata.tables import cut
 
+#: Names in a block of the lookup, and names up to which the driver learns the model itself.
 NAME_BLOCK, MODEL_NAMES = 20_000, 200_000
 EXACT, NICK, ABBR, INITIAL, TYPO, DOUBT, ABSENT = 0.0, 0.1, 0.2, 0.3, 1.0, 0.5, 0.05
 MOST_COST = 2.7
@@ -158,6 +162,34 @@ class Model:
             best[c] = max(best.get(c, (0, "")), (n, syllable))
         self.syllables = {x for _, x in best.values()}
 
+    @classmethod
+    def of_all(cls, names: DataFrame, n: int) -> tuple[Model, DataFrame]:
+        """The model of n names(name_id, kind, full_name, latin_name), counted where they lie, and the names with the length of their place, which stands for the endings."""
+        model = cls([])
+        spelt = cut(names.withColumn("name_id", F.col("name_id").cast("bigint")).mapInArrow(_plained, "name_id bigint, kind string, full_name string, latin_name string, f string"))
+        counted = cut(spelt.mapInArrow(_features, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
+        own = lambda what: counted.where(F.col("what") == what)
+        most = {r["a"]: r["most"] for r in own("most").collect()}
+        model.most_words, model.most_chars = max(1, most.get("words", 1)), max(1, most.get("chars", 1))
+        common, wide = max(SHARED, COMMON * n), max(WIDE, n / 12)
+        held = own("word").where(F.col("n") >= min(common, wide)).collect()
+        model.common, model.wide = {r["a"] for r in held if r["n"] >= common}, {r["a"] for r in held if r["n"] > wide}
+        model.heads, model.tails = ({r[0] for r in own("surname").groupBy(x).count().where(F.col("count") >= SHARED).select(x).collect()} for x in ("a", "b"))
+        orgs = own("org").select(F.col("a").alias("f"), F.col("b").alias("words"), "n")
+        of_name = orgs.groupBy("f").agg(F.sum("n").alias("n"))
+        ends = of_name.where("char_length(f) > 1").selectExpr("f", "n", "posexplode(transform(sequence(1, char_length(f) - 1), k -> substring(f, k + 1))) as (p, ending)")
+        shared = ends.groupBy("ending").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("ending")
+        longest = ends.where("p > 0").join(shared, "ending", "left_semi").groupBy("f").agg((F.min("p") + 1).alias("k"))
+        places = cut(of_name.select("f").join(longest, "f", "left").selectExpr("f", "coalesce(k, least(2, char_length(f))) as place"))
+        model.kinds = {r[0] for r in places.selectExpr("substring(f, place + 1) as t").distinct().collect()}
+        model.pool = {r[0] for r in places.selectExpr("explode(transform(sequence(1, place), i -> substring(f, i, 1))) as c").distinct().collect()}
+        votes = orgs.where("words <> ''").join(places.where("place = 2"), "f").select("f", "words", "n").mapInArrow(_votes, "c string, syllable string, n bigint").groupBy("c", "syllable").agg(F.sum("n").alias("n"))
+        model.syllables = {r[0] for r in votes.groupBy("c").agg(F.max(F.struct("n", "syllable")).alias("x")).select("x.syllable").distinct().collect()}
+        return model, cut(spelt.join(places, "f", "left").select("name_id", "kind", "full_name", "latin_name", "place"))
+
+    def tag(self) -> int:
+        return hash((self.most_words, self.most_chars, *(frozenset(x) for x in (self.endings, self.common, self.wide, self.heads, self.tails, self.kinds, self.pool, self.syllables))))
+
     def parts(self, f: str) -> tuple[str, str]:
         """Place and kind of an institution: the kind is the longest ending that several names share and that leaves a place of two characters or more."""
         k = next((k for k in range(2, len(f)) if f[k:] in self.endings), min(2, len(f)))
@@ -170,14 +202,52 @@ class Model:
         return any(typed[:k] in self.heads and typed[k:] in self.tails for k in range(2, len(typed) - 1))
 
 
+def _plained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([plain(x) for x in b.column(2).to_pylist()], pa.string())], names=[*b.schema.names, "f"])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``Model`` counts of names: (what, a, b, n)."""
+    for b in batches:
+        found: Counter[tuple[str, str, str]] = Counter()
+        most = {"words": 1, "chars": 1}
+        for kind, full, latin, f in zip(*(c.to_pylist() for c in b.columns[1:])):
+            words = latin_words(full, latin)
+            most = {"words": max(most["words"], len(words)), "chars": max(most["chars"], len(f))}
+            found.update(("word", w, "") for w in set(words))
+            if kind == "org" and _HAN.search(f):
+                found["org", f, " ".join(words)] += 1
+            elif kind == "person" and words and not _HAN.search(f):
+                found.update(("surname", words[-1][:k], words[-1][k:]) for k in range(2, len(words[-1]) - 1))
+        rows = [*(("most", k, "", n) for k, n in most.items()), *((*k, n) for k, n in found.items())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["what", "a", "b", "n"])
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The syllables that the two characters of a place may stand for: (c, syllable, n)."""
+    for b in batches:
+        found: Counter[tuple[str, str]] = Counter()
+        for f, words, n in zip(*(c.to_pylist() for c in b.columns)):
+            for w in words.split(" "):
+                for x, y in splits(w):
+                    found[f[0], x] += n
+                    found[f[1], y] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array(list(found.values()), pa.int64())], names=["c", "syllable", "n"])
+
+
 class Index:
-    """Known names, ready to be asked, with the model of all of them."""
+    """Known names, ready to be asked, with the model of all of them; a row may tell the length of its place."""
 
-    def __init__(self, rows: list[tuple[int, str, str, str]], model: Model | None = None):
+    def __init__(self, rows: list[tuple], model: Model | None = None):
         self.rows, self.model = rows, model or Model(rows)
 
     def compile(self) -> Index:
         self.kinds, self.pool = self.model.kinds, self.model.pool
+        self.kinds_by_first: dict[str, list[str]] = {}
+        for t in self.kinds:
+            self.kinds_by_first.setdefault(t[:1], []).append(t)
+        cuts: dict[str, int] = {}
         self.exact: dict[tuple[str, str], set[int]] = {}
         self.near_zh: dict[str, set[str]] = {}
         self.zh: dict[str, set[int]] = {}
@@ -186,7 +256,7 @@ class Index:
         self.place: dict[str, tuple[str, str]] = {}
         self.by_place: dict[str, list[str]] = {}
         self.by_first: dict[str, list[str]] = {}
-        for name_id, kind, full, latin in self.rows:
+        for name_id, kind, full, latin, *place in self.rows:
             f = plain(full)
             self.exact.setdefault((kind, f.replace(" ", "") if _HAN.search(f) else f.lower()), set()).add(name_id)
             words = latin_words(full, latin)
@@ -196,8 +266,10 @@ class Index:
                     self.by_token.setdefault(w, set()).add(name_id)
             if kind == "org" and _HAN.search(f):
                 self.zh.setdefault(f, set()).add(name_id)
+                if place:
+                    cuts[f] = place[0]
         for f in self.zh:
-            p, _ = self.place[f] = self.model.parts(f)
+            p, _ = self.place[f] = (f[: cuts[f]], f[cuts[f] :]) if f in cuts else self.model.parts(f)
             for d in deletes(f):
                 self.near_zh.setdefault(d, set()).add(f)
             self.by_place.setdefault(p, []).append(f)
@@ -306,7 +378,7 @@ class Index:
         if len(s) > self.model.most_chars + 1:
             return 99.0, set()
         found: dict[str, float] = {}
-        kind = next((t for t in sorted(self.kinds, key=len, reverse=True) if s.endswith(t) and len(s) - len(t) >= 1), None)
+        kind = next((s[k:] for k in range(1, len(s) + 1) if s[k:] in self.kinds), None)
         for f in {f for d in deletes(s) for f in self.near_zh.get(d, ())}:
             if not one_edit(s, f):
                 continue
@@ -341,7 +413,7 @@ class Index:
         """The short form names the kind by its first characters, or by its ending as no other kind does."""
         if short[0] == full[0]:
             return True
-        return not any(k != full and len(short) < len(k) and _subsequence(short, k) and short[0] == k[0] for k in self.kinds) and full.endswith(short)
+        return not any(k != full and len(short) < len(k) and _subsequence(short, k) for k in self.kinds_by_first.get(short[0], ())) and full.endswith(short)
 
     def fits(self, value: str, kind: str) -> list[tuple[int, float, int]]:
         """(stage, cost, entry) of all entries that fit a spelling best: by what stands outside of brackets, and by what stands in them."""
@@ -387,17 +459,17 @@ def best(fits: list[tuple[int, float, int]]) -> tuple[float, int | None]:
     return (c1, next(iter(both))) if len(inner) == 1 and both else (99.0, None)
 
 
-_indexes: dict[int, Index] = {}
+_indexes: dict[tuple[int, int], Index] = {}
 _OUT = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64()), ("stage", pa.int32()), ("cost", pa.float64()), ("name_id", pa.int64())])
 
 
-def _resolver(rows: list[tuple], model: Model):
-    tag = hash(tuple(rows))
+def _resolver(rows: list[tuple], model: Broadcast[Model], model_tag: int):
+    tag = model_tag, hash(tuple(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _indexes:
             _indexes.clear()
-            _indexes[tag] = Index(rows, model).compile()
+            _indexes[tag] = Index(rows, model.value).compile()
         index = _indexes[tag]
         for b in batches:
             got = [(i, *f) for i, (k, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for f in index.fits(v, k)]
@@ -426,14 +498,18 @@ def link(values: DataFrame, known: DataFrame, block: int = NAME_BLOCK) -> DataFr
     known = known.where("name_id is not null and full_name is not null")
     names = known.select("name_id", "kind", "full_name", "latin_name")
     n = names.count()
-    model = Model([tuple(r) for r in (names if n <= MODEL_NAMES else names.orderBy(F.xxhash64("name_id"), "name_id").limit(MODEL_NAMES)).collect()])
+    if n <= MODEL_NAMES:
+        model = Model([tuple(r) for r in names.collect()])
+    else:
+        model, names = Model.of_all(names, n)
+    sent, tag = names.sparkSession.sparkContext.broadcast(model), model.tag()  # once, for all blocks
     blocks = 1 if n <= block else 2 * -(-n // block)
     source = values.where("row_id is not null and trim(value) <> ''").select("tab", "row_id", "field", "kind", "value")
     spellings = source.groupBy("kind", "value").agg(F.count("*").alias("n"))
     parts = []
     for b in range(blocks):
         own = names.where(F.pmod(F.xxhash64("name_id"), F.lit(blocks)) == b).orderBy("name_id").collect()
-        parts.append(spellings.mapInArrow(_resolver([tuple(r) for r in own], model), "kind string, value string, n bigint, stage int, cost double, name_id bigint"))
+        parts.append(spellings.mapInArrow(_resolver([tuple(r) for r in own], sent, tag), "kind string, value string, n bigint, stage int, cost double, name_id bigint"))
     fits = cut(_chosen(reduce(DataFrame.unionByName, parts)))
     # a doubtful spelling is rarer than the entry without an error; one as frequent is another name
     sure = fits.where(F.col("cost") < TYPO).groupBy("name_id").agg(F.sum("n").alias("sure"))
