@@ -12,7 +12,8 @@ removed if the weighted sum of both and of its look is low. Look is a feature li
 wording known from menus, notices and footers speaks against a line, the form of a sentence
 or of an entry behind the page's head for it; neither decides alone. The page's title stays.
 
-Each page is looked at by itself; what is shuffled are hashes of lines. Node counts combine
+Each page is looked at by itself, once, and kept as a row with the hashes of its lines; what
+is shuffled are these hashes. Node counts combine
 on the map side, and lines meet their nodes by a join on (host, line), which AQE splits where
 a host or a line is hot. No host is ever collected.
 
@@ -36,24 +37,33 @@ from veristrata.tables import broadcast_if_small, cut
 W_CONTENT, W_BRANCH, W_AGAINST, W_FOR, LEAST_IMPORTANCE = 0.3, 0.7, 0.55, 0.3, 0.36
 PRIOR_PAGES = 2.0
 
-_OUT = pa.schema([("tab", pa.string()), ("row_id", pa.int64()), ("host", pa.string()), ("line_no", pa.int32()), ("key", pa.int64()), ("flags", pa.int32()), ("fresh", pa.int32())])
+#: Lines in a row; a longer page takes several rows.
+ROW_LINES = 10_000
+
+_LINE = pa.struct([("line_no", pa.int32()), ("key", pa.int64()), ("flags", pa.int32()), ("fresh", pa.int32())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        tabs, ids, hosts, titles, pages = (c.to_pylist() for c in b.columns)
-        flags = [L.page(p, t) for p, t in zip(pages, titles)]
-        own = [[(j, L.key(x), f) for j, (x, f) in enumerate(zip(p, fl)) if not f & L.BLANK] for p, fl in zip(pages, flags)]
-        rep = pa.array([i for i, o in enumerate(own) for _ in o], pa.int32())
-        fresh = []
-        for o in own:
-            seen: set[int] = set()
-            for _, k, _ in o:
-                fresh.append(int(k not in seen))
-                seen.add(k)
-        cols = [b.column(0).take(rep), b.column(1).take(rep), b.column(2).take(rep), *(pa.array([x[c] for o in own for x in o], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int32()))), pa.array(fresh, pa.int32())]
-        for at in range(0, max(len(rep), 1), 50_000):
-            yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in cols], schema=_OUT)
+    """Each page with its lines that are not blank, part by part; a page without lines is a part too."""
+    for b in L.pieces(batches):
+        titles, pages = (b.column(i).to_pylist() for i in (3, 4))
+        rep, part, ends, cols = [], [], [0], ([], [], [], [])
+        for i, (page, title) in enumerate(zip(pages, titles)):
+            start, seen = len(cols[0]), set()
+            for j, (x, f) in enumerate(zip(page, L.page(page, title))):
+                if not f & L.BLANK:
+                    k = L.key(x)
+                    for col, v in zip(cols, (j, k, f, int(k not in seen))):
+                        col.append(v)
+                    seen.add(k)
+            end = len(cols[0])
+            for n, at in enumerate(range(start, max(end, start + 1), ROW_LINES)):
+                rep.append(i)
+                part.append(n)
+                ends.append(min(at + ROW_LINES, end))
+        lines = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LINE)], fields=list(_LINE))
+        own = [b.column(i).take(pa.array(rep, pa.int32())) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)], names=["tab", "row_id", "host", "part", "lines"])
 
 
 def remove(pages: DataFrame) -> DataFrame:
@@ -63,14 +73,15 @@ def remove(pages: DataFrame) -> DataFrame:
     the pages' own text, are done with. The others are counted by host, and lines meet them.
     """
     rows = pages.where("row_id is not null and tab is not null and lines is not null").select("tab", "row_id", F.coalesce("host", F.lit("")).alias("host"), "title", "lines")
-    nodes = cut(rows.mapInArrow(_nodes, "tab string, row_id bigint, host string, line_no int, key bigint, flags int, fresh int"))
+    trees = cut(rows.mapInArrow(_nodes, "tab string, row_id bigint, host string, part int, lines array<struct<line_no:int,key:bigint,flags:int,fresh:int>>"))
+    nodes = trees.select("tab", "row_id", "host", F.inline("lines"))
     flag = lambda m: F.col("flags").bitwiseAND(F.lit(m)) != 0
     look = F.when(flag(L.SENT | L.ENTRY | L.NUMBERED) & ~flag(L.HEAD), W_FOR).otherwise(0.0) - F.when(flag(L.FURN | L.NAV), W_AGAINST).otherwise(0.0)
     nodes = nodes.where(~flag(L.TITLE)).select("tab", "row_id", "host", "line_no", "key", "fresh", look.alias("look"), F.when(flag(L.BODY), 1).otherwise(0).alias("body"))
     # one less the entropy of an even spread over n of m pages
     content = lambda n, m: F.greatest(1 - F.log(F.col(n).cast("double")) / F.greatest(F.log(F.col(m).cast("double")), F.lit(0.7)), F.lit(0.0))
     branch = (F.col("body_all") + PRIOR_PAGES / 2) / (F.col("n_all") + PRIOR_PAGES)
-    sizes = cut(rows.groupBy("tab", "host").agg(F.count("*").alias("m")))
+    sizes = cut(trees.where("part = 0").groupBy("tab", "host").agg(F.count("*").alias("m")))
     every = F.broadcast(sizes.groupBy("tab").agg(F.sum("m").alias("m_all")))  # a row a table
     counted = nodes.groupBy("tab", "key").agg(F.sum("fresh").alias("n_all"), F.sum(F.col("fresh") * F.col("body")).alias("body_all"), F.min("look").alias("look"))
     open_ = counted.select("tab", "key", "n_all", "look", branch.alias("branch")).where(W_BRANCH * F.col("branch") + F.col("look") < LEAST_IMPORTANCE)

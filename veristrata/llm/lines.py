@@ -6,7 +6,9 @@ Shared by the operators for residue and for boilerplate. Everything here looks a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 
 #: Texts of page furniture in several languages (fixed values).
@@ -28,6 +30,18 @@ _NUMBERED = re.compile(r"^\s*(?:\d{1,3}[.、)）]|[（(]\d{1,3}[)）]|[-*•])\s
 TITLE, NAV, FURN, SENT, ENTRY, NUMBERED, HEAD, BODY, FOOT, END, BLANK = 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024
 
 
+#: Pages, and bytes of them on average, that are made objects of at once.
+PIECE_ROWS, PIECE_BYTES = 500, 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces: Arrow's are counted in rows, however long these are, and all objects of one would be held at once."""
+    for b in batches:
+        n = max(1, min(PIECE_ROWS, PIECE_BYTES * b.num_rows // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 _keys: dict[str, int] = {}
 
 

@@ -165,7 +165,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 memo[line] = e
         return e
 
-    for b in batches:
+    for b in L.pieces(batches):
         out: tuple[list, list, list, list] = ([], [], [], [])
         for tab, row_id, title, host, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 2, 4))):
             lines = [x for x in text.split("\n") if x and not x.isspace()]
@@ -182,7 +182,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in L.pieces(batches):
         k = [sorted({line_key(x) for x in t.split("\n") if x and not x.isspace()}) for t in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(k, pa.list_(pa.int64()))], names=["tab", "content", "host", "keys"])
 
